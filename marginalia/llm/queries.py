@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, sharding, url_rules, warc, winnow
+from . import ann, langid, line_dedup, packing, sharding, url_rules, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text", "emptied")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(_read(spark, sf_dir, "documents"), n_shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -34,5 +38,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_warc, op6_fingerprints, op7_packing, op8_url_filter)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"), declared="lang", host="source")
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sharding, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op10_nearest)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
