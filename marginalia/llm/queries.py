@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, langid, line_dedup, packing, sharding, url_rules, warc, winnow
+from . import ann, langid, line_dedup, minhash, packing, sharding, url_rules, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text", "emptied")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(_read(spark, sf_dir, "documents"), n_shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -46,5 +50,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sharding, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_sharding, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op10_nearest)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
