@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, langid, line_dedup, minhash, packing, sharding, url_rules, warc, winnow
+from . import ann, langid, line_dedup, minhash, packing, sharding, spm, url_rules, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return spm.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_read(spark, sf_dir, "pages"), least_bytes=0)
 
@@ -50,5 +56,5 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_sharding, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_sharding, op4_sentencepiece, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op10_nearest)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}

@@ -108,7 +108,7 @@ def fired(tokens: DataFrame, rules: DataFrame, most_rules: int = 20_000) -> Data
     return hits.groupBy("_set").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, *, most_sets: int = 1_000_000, **options) -> DataFrame:
     """page_id, host, path, rule, verdict and confidence of each page's url.
 
     labels: doc_id (a page_id), quality and toxic; a row is bad if it is toxic or of quality 0, nulls
@@ -126,5 +126,8 @@ def judge(pages: DataFrame, labels: DataFrame, **options) -> DataFrame:
     sets = rows.groupBy("_set").agg(F.first("tokens").alias("tokens"))
     hits = fired(sets, rules)
     name, verdict = first_rule(F.col("host"), F.col("path"))
+    hits = common.cut(hits)
+    if hits.count() <= most_sets:  # 16 bytes each; beyond that the join is shuffled
+        hits = F.broadcast(hits)
     judged = rows.join(hits, "_set", "left")
     return judged.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence")
