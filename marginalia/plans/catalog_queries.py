@@ -1 +1,90 @@
-"""Queries."""
+"""Queries for the catalog and the stateful operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from marginalia.plans.registry import query, read
+from marginalia.sources import catalog
+from marginalia.streaming import queues
+
+
+@query("""WITH h AS (SELECT *, sha256(text) AS content FROM documents)
+SELECT lang AS owner, content, count(*) AS copies, max(doc_id) AS newest, max(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN doc_id END) AS reusable FROM h GROUP BY ALL HAVING count(*) > 1""")
+def doc_dedup_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the same owner and content: the newest, and the newest that is indexed."""
+    docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("owner"), "doc_id", "text")
+    return catalog.reusable(docs, read(spark, sf_dir, "labels"), "owner", F.sha2("text", 256), "doc_id")
+
+
+@query("""WITH n AS (SELECT o_custkey AS id, arg_max(o_orderpriority, o_orderkey) AS segment, max(o_orderkey) AS k FROM orders GROUP BY o_custkey),
+v AS (SELECT n.id, o.o_totalprice AS balance, CASE WHEN n.id % 2 = 0 THEN n.segment END AS segment FROM n JOIN orders o ON o.o_orderkey = n.k)
+SELECT coalesce(c.c_custkey, v.id) AS id, coalesce(v.balance, c.c_acctbal) AS balance, coalesce(v.segment, c.c_mktsegment) AS segment, c.c_name AS name FROM customer c FULL JOIN v ON c.c_custkey = v.id""")
+def upsert_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last change of each key over the stored row; nulls keep what is stored."""
+    old = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"))
+    new = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("balance"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).alias("segment"), "o_orderkey")
+    return catalog.upsert(old, new, ["id"], "o_orderkey")
+
+
+@query("""WITH new AS (SELECT doc_id, item.item_id, item.text FROM documents d JOIN benchmark item ON d.doc_id % 40 = item.item_id AND d.doc_id < 100),
+old AS (SELECT doc_id, 1 AS ord, text FROM documents)
+SELECT doc_id, ord, text FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY item_id), text FROM new""")
+def replace_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections of some documents replaced, the others as they are."""
+    docs = read(spark, sf_dir, "documents")
+    old = docs.select("doc_id", F.lit(1).alias("ord"), "text")
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    new = docs.where("doc_id < 100").select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id").select("doc_id", "item_id", F.col("item").alias("text"))
+    return catalog.replace(old, new, "doc_id", "item_id")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
+def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return read(spark, sf_dir, "documents").select("doc_id", "source").join(gone, "doc_id", "left_anti")
+
+
+@query("""WITH f AS (SELECT *, first_value(len(embedding)) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) + 1e-9 AS norm FROM f WHERE len(embedding) = w)
+SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / norm, 6) AS first, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / norm)), 5) AS total FROM n""")
+def normalised_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.same_width(read(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
+    return rows.select("vec_id", F.round(F.col("unit")[0], 6).alias("first"), F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events),
+f AS (SELECT user_id, event_id, ts FROM events, n WHERE ts >= now - INTERVAL 240 HOUR),
+k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5)
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM k""")
+def pending_queue_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's queue at the last moment of the table: at most ten days old, the newest five."""
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    return queues.pending(events, "user_id", "ts", now, "240 HOURS", 5).select("user_id", "event_id", "place")
+
+
+# From which states each state can be reached.
+ALLOWED = {"downloading": ["idle", "ready"], "indexing": ["downloading"], "ready": ["indexing", "answering"], "answering": ["ready"], "idle": ["downloading", "indexing", "ready", "answering"]}
+TO = {"signup": "downloading", "view": "indexing", "click": "ready", "purchase": "answering", "error": "idle"}
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'signup' THEN 'downloading' WHEN 'view' THEN 'indexing' WHEN 'click' THEN 'ready' WHEN 'purchase' THEN 'answering' ELSE 'idle' END AS t FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 'idle' AS state, 0 AS accepted FROM e
+  UNION ALL SELECT f.user_id, e.k, CASE WHEN ok THEN e.t ELSE f.state END, f.accepted + CASE WHEN ok THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1,
+    LATERAL (SELECT (e.t = 'downloading' AND f.state IN ('idle', 'ready')) OR (e.t = 'indexing' AND f.state = 'downloading') OR (e.t = 'ready' AND f.state IN ('indexing', 'answering')) OR (e.t = 'answering' AND f.state = 'ready') OR (e.t = 'idle' AND f.state IN ('downloading', 'indexing', 'ready', 'answering')) AS ok))
+SELECT user_id, arg_max(state, k) AS state, max(accepted) AS accepted FROM f GROUP BY user_id""")
+def fsm_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processing state of each user after all events."""
+    to = F.element_at(F.create_map(*[x for k, v in TO.items() for x in (F.lit(k), F.lit(v))]), F.col("event_type"))
+    return queues.final_states(read(spark, sf_dir, "events"), "user_id", "event_id", to, ALLOWED)
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CAST(floor(epoch(ts)) AS BIGINT) AS moment, (1 + event_id % 30) * 86400 AS plus FROM events WHERE event_type = 'purchase'),
+f AS (SELECT user_id, k, moment + plus AS until FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, greatest(f.until, r.moment) + r.plus FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1)
+SELECT user_id, CAST(arg_max(until, k) AS BIGINT) AS until, CAST(max(k) AS INT) AS redeemed FROM f GROUP BY user_id""")
+def redeem_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access ends after all redemptions: each extends what is left or starts anew."""
+    rows = read(spark, sf_dir, "events").where("event_type = 'purchase'")
+    moment = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    return queues.access_until(rows.withColumn("moment", moment), "user_id", "moment", 1 + F.col("event_id") % 30)
