@@ -104,9 +104,9 @@ def scored(docs: DataFrame, model: np.ndarray, carried: list[str]) -> DataFrame:
 
 
 def identify(
-    docs: DataFrame, *, declared: str = "lang", host: str | None = "source", suffix: str | None = None, carried: list[str] | None = None, sample_rows: int = 6000, most_languages: int = 64, host_weight: float = 20.0, suffix_weight: float = 50.0, most_hosts: int = 100_000
+    docs: DataFrame, *, declared: str = "lang", host: str | None = "source", suffix: str | None = None, carried: list[str] | None = None, prefix: str = "", sample_rows: int = 6000, most_languages: int = 64, host_weight: float = 20.0, suffix_weight: float = 50.0, most_hosts: int = 100_000
 ) -> DataFrame:
-    """The carried columns (default doc_id) of each row with detected, posterior, declared_as and kept.
+    """The carried columns (default doc_id) of each row with detected, posterior, declared_as and kept (their names after prefix).
 
     docs: doc_id, text, a declared language and, if named, a host and an address suffix. The text
     model is fitted on at most sample_rows labelled rows, picked by a hash of doc_id (ties of the
@@ -122,7 +122,7 @@ def identify(
     model = train(docs, declared, known, sample_rows) if known else np.full((1, 1 << HASH_BITS), -HASH_BITS * np.log(2))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
     keep = [f"_keep{i}" for i in range(len(carried))]
-    source = docs.select(*[F.col(c).alias(k) for c, k in zip(carried, keep, strict=True)], "text", named(declared).alias("_said"), named(host).alias("_host"), named(suffix).alias("_suffix"))
+    source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(carried, keep, strict=True)], "text", named(declared).alias("_said"), named(host).alias("_host"), named(suffix).alias("_suffix"))
     rows = common.cut(scored(source, model, [*keep, "_said", "_host", "_suffix"]))
     languages_only = F.slice("text_log", 1, max(n, 1))
     vote = F.when((F.col("letters") > 0) & (F.array_max("text_log") == F.array_max(languages_only)), F.array_position("text_log", F.array_max("text_log")).cast("int") - 1).otherwise(n)
@@ -172,8 +172,10 @@ def identify(
     posterior = 1 / F.aggregate("_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_best")))
     names = F.lit([*known, UND])
     detected = F.when(F.col("letters") > 0, F.get(names, (F.array_position("_logs", F.col("_best")) - 1).cast("int"))).otherwise(UND)
-    judged = joined.select(*[F.col(k).alias(c) for c, k in zip(carried, keep, strict=True)], detected.alias("detected"), posterior.alias("posterior"), F.col("_said").alias("declared_as"))
-    return judged.withColumn("kept", (F.col("detected") != UND) & (F.col("posterior") >= 0.5))
+    kept = (F.col("_detected") != UND) & (F.col("_posterior") >= 0.5)
+    judged = joined.withColumn("_detected", detected).withColumn("_posterior", posterior)
+    found = {"detected": F.col("_detected"), "posterior": F.col("_posterior"), "declared_as": F.col("_said"), "kept": kept}
+    return judged.select(*[F.col(k).alias(c) for c, k in zip(carried, keep, strict=True)], *[v.alias(prefix + k) for k, v in found.items()])
 
 
 def markup_language(html: str) -> Column:
