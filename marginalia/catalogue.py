@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.plans import aggregate_queries, catalog_queries, check_queries, join_queries, order_queries, retrieval_queries, scalar_queries, understanding_queries  # noqa: F401  each registers its queries
+from marginalia.plans import aggregate_queries, catalog_queries, check_queries, evidence_queries, join_queries, order_queries, retrieval_queries, scalar_queries, understanding_queries  # noqa: F401  each registers its queries
 from marginalia.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
