@@ -187,7 +187,7 @@ def write_archives(pages: DataFrame, where: str, *, least_bytes: int = 0, frame_
     older = older.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     rows = rows.join(older, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     rows = rows.select("page_id", "url", "html", "digest", "refers_to", F.col("_digest").isNotNull().alias("revisit"))
-    rows = rows.repartition("page_id").sortWithinPartitions("page_id", "url")
+    rows = rows.sortWithinPartitions("page_id", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
