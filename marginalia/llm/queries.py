@@ -31,7 +31,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(_read(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.archive_round_trip(_read(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +57,4 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_sharding, op4_sentencepiece, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op10_nearest)}
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_near_duplicates": minhash.SQL, "op5_warc": warc.SQL}

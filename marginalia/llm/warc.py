@@ -248,3 +248,11 @@ def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
     if not written:
         return spark.createDataFrame([], RECORD_SCHEMA)
     return read_archives(spark, where)
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+  (((CAST('0x' || substr(x || '0', 1 + (5 * i) // 4, 2) AS BIGINT)) >> CAST(3 - (5 * i) % 4 AS BIGINT)) & 31), 1)), '') AS payload_digest, max(page_id) OVER (PARTITION BY x) AS newest FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to, true AS intact FROM d
+"""
