@@ -4,9 +4,9 @@ Documents of equal shingle sets form a class. Each class posts its signature's (
 pairs. A pair of classes that agrees in at least `least` of `size` coordinates must share one of
 the size - least + 1 rarest pairs of either; only these prefixes are joined, and a class with too
 few pairs that any other class has is skipped altogether. Within a posting list, members are first
-matched with one pivot each round; lists whose members are already in one component are skipped,
-and only what is left across components is compared in blocks, counting agreeing coordinates.
-Every candidate is confirmed on the full shingle sets.
+matched with one pivot; lists whose members are then in one component are skipped, and only what
+is left across components is compared in blocks, counting agreeing coordinates. Every candidate is
+confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -172,44 +172,102 @@ def components(edges: DataFrame) -> DataFrame:
             return found.select("id", "component")
 
 
-def across(members: DataFrame, least: int, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of members (token, id, component, sig) of a posting list, of different components and with at least `least` agreeing coordinates.
+def labels(links: DataFrame) -> DataFrame:
+    """id and component of every id that has a link (a, b): the smallest id within two links. Ids of one label are connected; not the reverse."""
+    both = common.cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    near = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("to"))
+    next_to = both.join(near.select(F.col("a").alias("b"), F.col("to").alias("far")), "b").groupBy("a").agg(F.min("far").alias("far"))
+    return common.cut(near.join(next_to, "a").select(F.col("a").alias("id"), F.least("to", "far").alias("component")))
 
-    Lists of one component are skipped. Longer lists are cut into blocks, and each pair of blocks
-    is compared by one task; only matching pairs leave it.
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """id and the sorted shingle hashes of each (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.slices(whole, "text"):
+                values, at = shingles(*common.text_buffers(batch.column("text")))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(values.astype(np.int64)))], ["id", "set"])
+
+    return texts.mapInArrow(run, "id long, set array<long>")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """(left, right) sizes of the intersections of sets, as products of incidence matrices over the values that occur on both sides."""
+    flat = [np.concatenate([np.zeros(0, np.int64), *side]) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for side, values in zip((left, right), flat, strict=True):
+        owner = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.searchsorted(both, values)
+        known = (at < len(both)) & (both[np.minimum(at, max(len(both) - 1, 0))] == values) if len(both) else np.zeros(len(values), bool)
+        places.append((owner[known], at[known]))
+    for start in range(0, len(both), width):
+        sides = []
+        for side, (owner, at) in zip((left, right), places, strict=True):
+            here = (at >= start) & (at < start + width)
+            matrix = np.zeros((len(side), min(width, len(both) - start)), np.float32)
+            matrix[owner[here], at[here] - start] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def across(members: DataFrame, least: int, size: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members (token, blocks, id, component, mask, sig, set) of posting lists that are of different components.
+
+    mask: bits of the coordinates that an id posts. blocks: how many parts a list is cut into; each
+    pair of parts is compared by one task: agreeing coordinates are
+    counted, pairs with at least `least` of them are confirmed on their full sets, and one link for
+    each pair of components leaves the task. A pair is looked at in the list of the first coordinate
+    only that both post and agree in.
     """
-    lists = members.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = members.join(lists, "token").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = members.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sig")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "mask", "sig", "set")
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "own", "id")
 
+    def match(token, own, ids, parts, mask, sig, sets) -> Iterator[tuple[int, int]]:
+        places, here = np.uint64(1) << np.arange(size, dtype=np.uint64), np.uint64(1 << (int(token) >> 32))
+        one = own[0] == own[-1]
+        left = np.arange(len(own)) if one else np.flatnonzero(own == own[0])
+        right = left if one else np.flatnonzero(own != own[0])
+        linked = set()
+        for p in range(0, len(left), 64):
+            x = left[p : p + 64]
+            same = sig[x][:, None, :] == sig[right][None]
+            agreed = np.where(same, places, np.uint64(0)).sum(2, dtype=np.uint64) & mask[x][:, None] & mask[right][None]
+            good = (same.sum(2) >= least) & (parts[x][:, None] != parts[right][None]) & ((agreed & (~agreed + np.uint64(1))) == here)
+            if one:
+                good &= ids[x][:, None] < ids[right][None]
+            some, others = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
+            if not len(some):
+                continue
+            a, b = [sets[k] for k in x[some]], [sets[k] for k in right[others]]
+            both = shared_counts(a, b)
+            union = np.array([len(v) for v in a])[:, None] + np.array([len(v) for v in b])[None] - both
+            for i, j in zip(*np.nonzero(good[np.ix_(some, others)] & (100 * both >= percent * union)), strict=True):
+                k, m = x[some[i]], right[others[j]]
+                pair = (min(parts[k], parts[m]), max(parts[k], parts[m]))
+                if pair not in linked:
+                    linked.add(pair)
+                    yield int(ids[k]), int(ids[m])
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        key = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
+        cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [table.num_rows]])
+        own, ids, parts, mask = (table.column(c).to_numpy() for c in ("own", "id", "component", "mask"))
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        held = table.column("set").combine_chunks()
+        at, flat = held.offsets.to_numpy(), held.values.to_numpy()
+        sets = [flat[s:e] for s, e in zip(at, at[1:], strict=False)]
+        mask = mask.astype(np.uint64)
+        pairs = [x for s, e in zip(cut, cut[1:], strict=False) if e - s > 1 for x in match(key[0, s], own[s:e], ids[s:e], parts[s:e], mask[s:e], sig[s:e], sets[s:e])]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-
-        def match(own, ids, parts, sig):
-            lo = own == own[0]
-            left, right = (np.flatnonzero(lo), np.flatnonzero(~lo)) if not lo.all() else (np.arange(len(own)), np.arange(len(own)))
-            found = []
-            for p in range(0, len(left), 64):
-                some = left[p : p + 64]
-                differ = parts[some][:, None] != parts[right][None]
-                i, j = np.nonzero(differ)
-                for q in range(0, len(i), 1 << 16):
-                    x, y = some[i[q : q + (1 << 16)]], right[j[q : q + (1 << 16)]]
-                    good = ((sig[x] == sig[y]).sum(1) >= least) & (ids[x] < ids[y]) if lo.all() else (sig[x] == sig[y]).sum(1) >= least
-                    found.append(np.stack([np.minimum(ids[x[good]], ids[y[good]]), np.maximum(ids[x[good]], ids[y[good]])]))
-            return found
-
-        def flush(table: pa.Table):
-            key = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
-            cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [table.num_rows]])
-            ids, parts, own = (table.column(c).to_numpy() for c in ("id", "component", "own"))
-            sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            found = [x for s, e in zip(cut, cut[1:], strict=False) if e - s > 1 for x in match(own[s:e], ids[s:e], parts[s:e], sig[s:e])]
-            pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], 1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
         for b in batches:
             table = pa.Table.from_batches([b])
             table = table if held is None else pa.concat_tables([held, table])
@@ -227,7 +285,7 @@ def across(members: DataFrame, least: int, block: int = 512) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = 48, least: int = 24, rounds: int = 2, most_broadcast: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = 48, least: int = 24, block: int = 1024, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text).
 
     Rows are linked if 100 * intersection >= percent * union of their sets of five-word shingles;
@@ -244,7 +302,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = 48, least
     posts = classes.select("id", F.explode("sig").alias("token"))
     counts = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = posts.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # at most `size` entries
-    prefix = shared.where(F.size("shared") >= least).select("id", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (least - 1))).alias("p")).select("id", F.col("p.token").alias("token"))
+    prefix = shared.where(F.size("shared") >= least).withColumn("weight", F.aggregate("shared", F.lit(0).cast("bigint"), lambda a, x: a + x["df"]))
+    prefix = prefix.select("id", "weight", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (least - 1))).alias("p")).select("id", "weight", F.col("p.token").alias("token"))
     prefix = common.table(prefix, "prefixes")
     picked = common.cut(classes.join(prefix.select("id").distinct(), "id", "left_semi"))
     wanted = picked.select("doc_id", "row", "id")
@@ -258,20 +317,20 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = 48, least
         met = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
         return met.where(F.size(F.array_intersect("sig_a", "sig_b")) >= least).select("a", "b")
 
-    def members(parts: DataFrame | None) -> DataFrame:
-        if parts is None:
-            return prefix.withColumn("component", F.col("id"))
-        return prefix.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    links, parts = None, None
-    for turn in range(rounds):
-        rank = F.struct(F.xxhash64(F.lit(turn), "id").alias("order"), F.col("id").alias("a"), F.col("component").alias("part"))
-        pivots = members(parts).groupBy("token").agg(F.min(rank).alias("p")).select("token", F.col("p.a").alias("a"), F.col("p.part").alias("part"))
-        pairs = members(parts).join(pivots, "token").where(F.col("component") != F.col("part")).select("a", F.col("id").alias("b")).distinct()
-        found = common.cut(confirmed(common.cut(alike(pairs)), texts, percent))
-        links = found if links is None else links.unionByName(found)
-        parts = components(links)
-    rest = common.cut(confirmed(common.cut(across(members(parts).join(sigs, "id"), least)), texts, percent))
+    # the pivot of a list is its member whose values are the most frequent ones: of a family of copies, one near the original
+    rank = F.struct(F.col("weight"), F.xxhash64("id"), F.col("id").alias("a"))
+    pivots = prefix.groupBy("token").agg(F.max(rank).alias("p")).select("token", F.col("p.a").alias("a"))
+    pairs = prefix.join(pivots, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    links = common.cut(confirmed(alike(pairs), texts, percent))
+    # what is left across components, with full sets only where a list has several
+    members = prefix.drop("weight").join(labels(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lists = members.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    lists = common.cut(lists.select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    members = common.cut(members.join(F.broadcast(lists) if lists.count() <= most_broadcast else lists, "token"))
+    posted = prefix.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, CAST(token >> 32 AS int))")).alias("mask"))
+    needed = members.select("id").distinct().join(posted, "id").join(sigs, "id")
+    needed = needed.join(shingle_sets(texts.join(members.select("id").distinct(), "id", "left_semi")), "id").dropDuplicates(["id"])
+    rest = common.cut(across(members.join(needed, "id"), least, size, percent))
     parts = components(links.unionByName(rest))
 
     # every doc_id by its classes; one that is in classes of several components joins these
@@ -279,8 +338,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = 48, least
     placed = common.cut(placed)
     spans = placed.groupBy("doc_id").agg(F.min("part").alias("part"), F.max("part").alias("other"))
     split = placed.withColumnRenamed("part", "b").join(spans.where("part <> other").select("doc_id", F.col("part").alias("a")), "doc_id").select("a", "b")
-    joined = components(split).select(F.col("id").alias("part"), "component")
-    final = common.cut(spans.select("doc_id", "part").join(joined, "part", "left").select("doc_id", F.coalesce("component", "part").alias("part")))
+    final = spans.select("doc_id", "part")
+    if split.limit(1).count():
+        joined = components(split).select(F.col("id").alias("part"), "component")
+        final = final.join(joined, "part", "left").select("doc_id", F.coalesce("component", "part").alias("part"))
     named = final.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     final = final.join(named, "part").select("doc_id", "component_id")
     out = rows.select("doc_id", "n_shingles").join(final, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
