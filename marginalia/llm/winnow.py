@@ -68,18 +68,30 @@ def printed(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.hex(x["hash"]), F.lit("@"), x["position"].cast("string"))), " ")
 
 
-def followed(rows: DataFrame, carried: list[str], rows_per_bucket: int = 4000) -> DataFrame:
+def place_among(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are below the key, by two steps of about the square root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    # the part before the first one that begins at or above the key
+    part = F.greatest(F.size(F.filter(F.lit([p[0] for p in parts]), lambda b: b < key)) - 1, F.lit(0))
+    inside = F.array(*[F.lit(p) for p in parts])
+    return part * step + F.size(F.filter(F.get(inside, part), lambda b: b < key))
+
+
+def followed(rows: DataFrame, carried: list[str], rows_per_bucket: int = 4000, most_buckets: int = 50_000) -> DataFrame:
     """Rows (doc_id, _tie, carried) with next_<c> of the next row by descending doc_id, then _tie; the first row follows the last.
 
     Buckets are ranges of doc_id; the first rows of each bucket also go to the bucket before it, so that
-    no bucket needs another and the text is shuffled once. Null doc_ids come last.
+    no bucket needs another and the text is shuffled once. Beyond most_buckets they grow (and their
+    sort spills). Null doc_ids come last.
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n, = rows.agg(F.count("*")).first()
-    steps = max(1, min(10_000, n // rows_per_bucket))
-    bounds = rows.agg(F.percentile_approx(key, [i / steps for i in range(1, steps)], 10 * steps)).first()[0] if steps > 1 and n else []
-    bounds = sorted(set(bounds or []))
-    bucket = F.size(F.filter(F.lit(bounds), lambda b: b < key)) if bounds else F.lit(0)
+    steps = max(1, min(most_buckets, n // rows_per_bucket))
+    bounds = rows.agg(F.percentile_approx(key, [i / steps for i in range(1, steps)], max(10_000, 5 * steps))).first()[0] if steps > 1 and n else []
+    bucket = place_among(key, sorted(set(bounds or [])))
     rows = rows.withColumn("_key", key).withColumn("_bucket", bucket.cast("int"))
     tops = rows.groupBy("_bucket").agg(F.max("_key").alias("_top")).orderBy(F.desc("_bucket")).collect()  # one row a bucket
     if not tops:
