@@ -59,10 +59,11 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.when(F.size(labels) > 0, suffixes).otherwise(F.array().cast("array<string>")), *named))
 
 
-def mine(tokens: DataFrame, labels: DataFrame, *, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.5, most_tokens: int = 3) -> DataFrame:
+def mine(tokens: DataFrame, labels: DataFrame, *, min_support: float = 0.002, least_rows: int = 8, min_confidence: float = 0.6, min_lift: float = 1.5, most_tokens: int = 3) -> DataFrame:
     """Rules (antecedent, confidence, support) that speak for blocking, from labelled rows.
 
-    tokens: page_id, tokens; labels: doc_id, bad (boolean). A token must have min_support itself; the
+    tokens: page_id, tokens; labels: doc_id, bad (boolean). A rule needs min_support, and least_rows
+    labelled rows, so that a few chance rows make none. A token must have min_support itself; the
     number of rules is thus bounded by the tokens of a URL and 1/min_support, not by the data. Of
     rules with the same confidence, one that contains another is pruned. Without labelled rows, or
     if none is bad, there are no rules.
@@ -73,6 +74,7 @@ def mine(tokens: DataFrame, labels: DataFrame, *, min_support: float = 0.002, mi
     empty = tokens.sparkSession.sql("SELECT array('') antecedent, 0D confidence, 0D support WHERE false")
     if not bad:
         return empty
+    min_support = min(1.0, max(min_support, least_rows / n))
     # tokens that hold for nearly all rows say nothing and only multiply the combinations
     counts = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     dull = counts.where(((F.col("n") < min_support * n) | (F.col("n") > 0.9 * n)) & (F.col("token") != BAD))
