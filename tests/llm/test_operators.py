@@ -275,6 +275,16 @@ def test_following_rows_in_buckets(spark):
     assert got == {i: str((i - 1) % 1000) for i in range(1000)}
 
 
+def test_place_among_bounds(spark):
+    import bisect
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5, 60):
+        bounds = sorted(rng.choice(300, n, replace=False).tolist())
+        got = spark.range(300).select("id", winnow.place_among(F.col("id"), bounds).alias("p")).collect()
+        assert all(r["p"] == bisect.bisect_left(bounds, r["id"]) for r in got)
+
+
 # 7: packing
 
 
