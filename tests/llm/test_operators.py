@@ -77,6 +77,12 @@ def test_lines_generalise_variable_fields(spark):
     assert got[0] == 0 and got[9] == 0 and all(got[i] >= 1 for i in (1, 2, 3))
 
 
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "Read more\n日本語2020年の行です\n2020\n\u3000\n\nown a"), (2, "Read  more\n日本語2020年の行です\n1999\n\u3000\n\nown b"), (3, "日本語2021年の行です\nRead more\n2020")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("1999\n\u3000\n\nown b", 2), 3: ("日本語2021年の行です", 2)}
+
+
 # 2: near-duplicates
 
 
