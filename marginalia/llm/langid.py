@@ -10,13 +10,16 @@ known language (`und`).
 
 from __future__ import annotations
 
+import html as markup
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
-from . import common
+from . import common, url_rules
 
 UND = "und"
 HASH_BITS = 15
@@ -181,3 +184,20 @@ def identify(
 def markup_language(html: str) -> Column:
     """The language that a page's html element declares, without its region, lower-cased; empty if none."""
     return F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
+
+
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(markup.unescape, na_action="ignore")
+
+
+def markup_text(html: str) -> Column:
+    """The text of a page without scripts, styles, comments and tags, its entities as characters."""
+    bare = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    return F.trim(_unescaped(F.regexp_replace(bare, r"[ \t\r\n]+", " ")))
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """doc_id (the page_id), text, lang (as the markup declares), host and suffix (the host's last label) of each page's html and url."""
+    named = F.regexp_extract(url_rules.host_of(F.col("url")), r"^(?:.*@)?([^:@]*)", 1)
+    return pages.select(F.col("page_id").alias("doc_id"), markup_text("html").alias("text"), markup_language("html").alias("lang"), named.alias("host"), F.substring_index(named, ".", -1).alias("suffix"))

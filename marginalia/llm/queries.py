@@ -52,9 +52,14 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"), declared="lang", host="source")
 
 
+def op9_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(langid.page_rows(_read(spark, sf_dir, "pages")), declared="lang", host="host", suffix="suffix")
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_sharding, op4_sentencepiece, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_sharding, op4_sentencepiece, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op9_language_pages, op10_nearest)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_near_duplicates": minhash.SQL, "op5_warc": warc.SQL}

@@ -380,6 +380,33 @@ def test_language_edge_cases(spark, edge, empty):
     assert {r["detected"] for r in langid.identify(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_page_evidence(spark):
+    html = "<!DOCTYPE html><HTML class='a' lang='de-AT'><style>p{}</style><script>var t='</p>';</script><body><!-- no --><p>Gr&uuml;&szlig;e <b>an</b> alle</p>"
+    rows = [(1, "https://me@News.Example.AT:80/a?b", html), (2, None, None), (3, "no address", "plain")]
+    got = [tuple(r) for r in langid.page_rows(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("doc_id").collect()]
+    assert got == [(1, "Grüße an alle", "de", "news.example.at", "at"), (2, None, "", "", ""), (3, "plain", "", "", "")]
+
+
+def test_language_of_pages(spark):
+    from marginalia.llm import queries
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in queries.op9_language_pages(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == pages.count() and {r["declared_as"] for r in got.values()} == {"en", "de", "fr", "es"}
+    assert sum(r["detected"] == r["declared_as"] for r in got.values()) > 0.9 * len(got)
+
+
+def test_language_prior_of_a_suffix(spark):
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IN ('en', 'de')")
+    rows = train.select((F.col("doc_id") + 10).alias("doc_id"), "text", "lang", F.concat("lang", F.lit("-"), (F.col("doc_id") % 50).cast("string")).alias("host"), F.when(F.col("lang") == "de", "de").otherwise("com").alias("suffix"))
+    # a text that says nothing, at hosts nobody knows: only the suffix tells
+    odd = spark.createDataFrame([(1, "xq", None, "new1", "de"), (2, "xq", None, "new2", "com")], rows.schema)
+    got = {r["doc_id"]: r for r in langid.identify(rows.unionByName(odd), declared="lang", host="host", suffix="suffix").where("doc_id < 10").collect()}
+    assert (got[1]["detected"], got[2]["detected"]) == ("de", "en")
+    flat = {r["doc_id"]: r for r in langid.identify(rows.unionByName(odd), declared="lang", host="host").where("doc_id < 10").collect()}
+    assert flat[1]["detected"] == flat[2]["detected"]
+
+
 # 10: nearest neighbours
 
 
