@@ -46,37 +46,39 @@ def grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (whole * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS), whole != 0x202020, x != 32
 
 
-def languages(docs: DataFrame, declared: str, most: int, least_rows: int = 5) -> list[str]:
-    """Declared languages by number of rows, at most `most`."""
-    counts = docs.groupBy(F.col(declared).alias("lang")).agg(F.count("*").alias("n")).where(f"lang IS NOT NULL AND lang <> '' AND n >= {least_rows}")
-    return [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(most).collect()]
+def languages(docs: DataFrame, declared: str, sample_rows: int, least_rows: int = 5) -> dict[str, int]:
+    """All declared languages of least_rows rows or more, by number of rows, with the hash of doc_id up to which a row is in the sample.
+
+    Hashes are even, so the part of them that holds sample_rows of a language's rows is known from
+    their number; the row of the lowest hash is always in.
+    """
+    counts = docs.groupBy(F.col(declared).alias("lang")).agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("lowest")).where(f"lang IS NOT NULL AND lang <> '' AND n >= {least_rows}")
+    part = lambda n: (sample_rows << 64) // n - (1 << 63) if n > sample_rows else (1 << 63) - 1
+    return {r["lang"]: max(part(r["n"]), r["lowest"]) for r in counts.orderBy(F.desc("n"), "lang").collect()}
 
 
-def train(docs: DataFrame, declared: str, known: list[str], sample_rows: int) -> np.ndarray:
-    """Log-probabilities (languages and background, buckets) from a sample of at most sample_rows labelled rows, picked by hash."""
+def train(docs: DataFrame, declared: str, bounds: dict[str, int]) -> np.ndarray:
+    """Log-probabilities (languages and background, buckets) from the rows of each language up to its bound (as of languages())."""
+    known = list(bounds)
     index = {x: i for i, x in enumerate(known)}
+    bound = F.create_map(*[F.lit(x) for item in bounds.items() for x in item])
     picked = docs.where(F.col(declared).isin(known)).select(F.col(declared).alias("lang"), "text", F.xxhash64("doc_id").alias("order"))
-    # the bound of the sample as a hash, so that no row of text goes to the driver
-    top = picked.select("order").orderBy("order").limit(sample_rows).agg(F.max("order")).first()[0]
-    picked = picked.where(F.col("order") <= F.lit(top)).select("lang", "text")
+    picked = picked.where(F.col("order") <= F.element_at(bound, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(known), 1 << HASH_BITS), np.int64)
         for whole in batches:
             for batch in common.slices(whole, "text"):
                 raw, at = common.text_buffers(batch.column("text"))
                 buckets, good, _ = grams(raw)
                 lang = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
                 row = np.repeat(lang, np.diff(at))[: len(buckets)]
-                seen += np.bincount(row[good] * (1 << HASH_BITS) + buckets[good], minlength=seen.size).reshape(seen.shape)
-        lang, bucket = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(seen[lang, bucket])], ["lang", "bucket", "n"])
+                cells, n = np.unique(row[good] * (1 << HASH_BITS) + buckets[good], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells >> HASH_BITS), pa.array(cells & ((1 << HASH_BITS) - 1)), pa.array(n)], ["lang", "bucket", "n"])
 
-    # at most languages * buckets rows
-    counts = picked.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    # at most languages * buckets rows, in columns of numbers
+    counts = picked.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(known), 1 << HASH_BITS), 0.05)
-    for r in counts:
-        table[r["lang"], r["bucket"]] += r["n"]
+    table[counts["lang"].to_numpy(), counts["bucket"].to_numpy()] += counts["n"].to_numpy()
     table = np.log(table / table.sum(1, keepdims=True))
     return np.vstack([table, np.full(1 << HASH_BITS, -HASH_BITS * np.log(2))])
 
@@ -107,22 +109,23 @@ def scored(docs: DataFrame, model: np.ndarray, carried: list[str]) -> DataFrame:
 
 
 def identify(
-    docs: DataFrame, *, declared: str = "lang", host: str | None = "source", suffix: str | None = None, carried: list[str] | None = None, prefix: str = "", sample_rows: int = 6000, most_languages: int = 64, host_weight: float = 20.0, suffix_weight: float = 50.0, most_hosts: int = 100_000
+    docs: DataFrame, *, declared: str = "lang", host: str | None = "source", suffix: str | None = None, carried: list[str] | None = None, prefix: str = "", sample_rows: int = 6000, host_weight: float = 20.0, suffix_weight: float = 50.0, most_hosts: int = 100_000
 ) -> DataFrame:
     """The carried columns (default doc_id) of each row with detected, posterior, declared_as and kept (their names after prefix).
 
-    docs: doc_id, text, a declared language and, if named, a host and an address suffix. The text
-    model is fitted on at most sample_rows labelled rows, picked by a hash of doc_id (ties of the
-    last hash come along); counts, priors and reliabilities cover all rows. kept: the row has a
+    docs: doc_id, text, a declared language and, if named, a host and an address suffix. All
+    declared languages of five rows or more are known. The text model is fitted on about sample_rows
+    rows of each (all, if it has no more), picked by a hash of doc_id (equal ones together); counts, priors and reliabilities cover all rows. kept: the row has a
     letter, its best language is not `und`, and its posterior is at least 0.5. Null or letterless
     texts are `und` and not kept. A null or unknown declaration, host or suffix is a value of its
     own. Ties go to the language with more rows. Each row is judged by itself, repeated or not; with
     no labelled rows all are `und`. An empty table gives an empty result.
     """
     spark, carried = common.session_of(docs), carried or ["doc_id"]
-    known = languages(docs, declared, most_languages)
+    bounds = languages(docs, declared, sample_rows)
+    known = list(bounds)
     n = len(known)
-    model = train(docs, declared, known, sample_rows) if known else np.full((1, 1 << HASH_BITS), -HASH_BITS * np.log(2))
+    model = train(docs, declared, bounds) if known else np.full((1, 1 << HASH_BITS), -HASH_BITS * np.log(2))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
     keep = [f"_keep{i}" for i in range(len(carried))]
     source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(carried, keep, strict=True)], "text", named(declared).alias("_said"), named(host).alias("_host"), named(suffix).alias("_suffix"))
@@ -145,7 +148,7 @@ def identify(
     by_host = hosts.join(by_suffix, "_suffix").select("_suffix", "_host", array([c.cast("double") for c in counts]).alias("_votes"), "_above")
     if by_host.count() <= most_hosts:  # else a shuffled join, of which Spark splits hot hosts
         by_host = F.broadcast(by_host)
-    # how often each language's texts are declared as what; the most frequent declarations only, as many as there are languages
+    # how often each language's texts are declared as what; known languages only
     told = rows.where((F.col("_vote") < n) & F.col("_said").isin(known)).groupBy("_said", "_vote").agg(F.count("*").alias("n")).collect()  # at most languages squared
     said = np.ones((n, n + 1)) * 0.5
     for r in told:

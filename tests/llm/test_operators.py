@@ -380,6 +380,16 @@ def test_language_edge_cases(spark, edge, empty):
     assert {r["detected"] for r in langid.identify(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_rare_languages_are_trained(spark):
+    rng = np.random.default_rng(7)
+    words = {k: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(20)] for k in range(70)}
+    text = lambda k: " ".join(rng.choice(words[k], 60))
+    rows = [(f"l{k:02}", text(k)) for k in range(70) for _ in range(6)] + [("l00", text(0)) for _ in range(3000)]
+    rows = [(i, t, x, "s") for i, (x, t) in enumerate(rows)] + [(10_000 + k, text(k), None, "s") for k in range(70)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), sample_rows=50).where("doc_id >= 10000").collect()
+    assert [(r["doc_id"], r["detected"]) for r in got if r["detected"] != f"l{r['doc_id'] - 10_000:02}" or not r["kept"]] == []
+
+
 def test_page_evidence(spark):
     html = "<!DOCTYPE html><HTML class='a' lang='de-AT'><style>p{}</style><script>var t='</p>';</script><body><!-- no --><p>Gr&uuml;&szlig;e <b>an</b> alle</p>"
     rows = [(1, "https://me@News.Example.AT:80/a?b", html), (2, None, None), (3, "no address", "plain")]
