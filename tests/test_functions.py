@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from marginalia.functions import labels, numbers, questions
-from marginalia.operators import aggregates, joins, tables
+from marginalia.operators import aggregates, joins, retrieval, tables
 from marginalia.sources import catalog, chunks
 
 
@@ -83,3 +83,14 @@ def test_header_detection(spark):
     rows = spark.createDataFrame([(1, 1, ["Год", "Выручка"]), (1, 2, ["2019", "10"]), (2, 1, ["5", "6"]), (2, 2, ["7", "8"])], "t int, r int, cells array<string>")
     got = {r["t"]: r["has_header"] for r in tables.has_header(rows, ["t"], F.col("cells"), "r").collect()}
     assert got == {1: True, 2: False}
+
+
+def test_verbatim_finds_ends_and_short_pieces(spark):
+    words = " ".join(f"word{i:02}x" for i in range(18))[:150]
+    assert one(spark, retrieval.shingles(F.col("t")), t=words) == [words[i : i + 90] for i in (0, 25, 50, 75, 100)]  # as the reference's _make_shingles
+    assert one(spark, retrieval.shingles(F.col("t")), t=words[:90]) == [words[:90]]
+    dense = "語" * 89 + "終"
+    docs = spark.createDataFrame([(1, f"so {words[100:]} it ends"), (2, "see Short Item here"), (3, f"x{dense}y"), (4, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, words), (2, "short item"), (3, dense), (4, ""), (5, " "), (6, None)], "item_id long, text string")
+    got = sorted(tuple(r) for r in retrieval.verbatim(docs, items).select("item_id", "doc_id", "piece_no", "at").collect())
+    assert got == [(1, 1, 4, 4), (2, 2, 0, 5), (3, 3, 0, 2)]
