@@ -83,6 +83,15 @@ def test_short_lines_repeat_exactly(spark):
     assert got == {1: (rows[0][1], 0), 2: ("1999\n\u3000\n\nown b", 2), 3: ("日本語2021年の行です", 2)}
 
 
+def test_lines_of_many_templates_in_a_leaf(spark):
+    kinds = [f"posted by someone {a} {b} {c} {d} {e} end" for a, b, c, d, e in (x.split() for x in ("in the news of today", "from a friend far away", "with love since early spring", "after much thought on things", "under old trees near water"))]
+    rows = [(10 * k + i, kind.replace(" end", f" {name}")) for k, kind in enumerate(kinds) for i, name in enumerate(["ada", "bob", "eve"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for most_folded in (500, 3):  # in one step, and by rounds
+        got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(table, most_folded=most_folded).collect()}
+        assert got == {i: int(i % 10 > 0) for i, _ in rows}
+
+
 # 2: near-duplicates
 
 
