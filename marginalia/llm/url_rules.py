@@ -59,7 +59,7 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.when(F.size(labels) > 0, suffixes).otherwise(F.array().cast("array<string>")), *named))
 
 
-def mine(tokens: DataFrame, labels: DataFrame, *, min_support: float = 0.002, least_rows: int = 8, min_confidence: float = 0.6, min_lift: float = 1.5, most_tokens: int = 3) -> DataFrame:
+def mine(tokens: DataFrame, labels: DataFrame, *, min_support: float = 0.002, least_rows: int = 8, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
     """Rules (antecedent, confidence, support) that speak for blocking, from labelled rows.
 
     tokens: page_id, tokens; labels: doc_id, bad (boolean). A rule needs min_support, and least_rows
@@ -81,7 +81,7 @@ def mine(tokens: DataFrame, labels: DataFrame, *, min_support: float = 0.002, le
     kept = sorted(r["token"] for r in counts.join(dull, "token", "left_anti").collect())  # at most the tokens of a URL / min_support
     items = rows.select(F.array_intersect("items", F.lit(kept)).alias("items")).where(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= most_tokens) & (F.col("lift") >= min_lift))
+    found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift))
     found = common.cut(found.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support"))
     a, b = found.alias("a"), found.alias("b")
     wider = (F.size("a.antecedent") > F.size("b.antecedent")) & (F.size(F.array_except("b.antecedent", "a.antecedent")) == 0) & (F.col("b.confidence") >= F.col("a.confidence"))

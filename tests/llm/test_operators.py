@@ -366,6 +366,15 @@ def test_mined_rules_fire(spark):
     assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(400))
 
 
+def test_mined_rule_of_four_tokens(spark):
+    words = ["win", "play", "cash", "now"]
+    urls = ["/".join(words)] * 40 + ["/".join(w for w in words if w != left) for left in words for _ in range(40)]
+    pages = spark.createDataFrame([(i, f"http://site.net/{u}/{i}") for i, u in enumerate([*urls, "/".join(words)])], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(len(urls))], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels).collect()}
+    assert got == {i: "block" if i < 40 or i == len(urls) else "allow" for i in range(len(urls) + 1)}
+
+
 # 9: language
 
 
