@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: spark_partition_id() sits above this many bits in monotonically_increasing_id().
@@ -20,12 +21,15 @@ def session_of(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
+    Only where that is unset and all runs on one machine (tests) a temporary folder takes its place;
+    on a cluster it must be set.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="marginalia-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="marginalia-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -91,7 +95,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21):
     """The batch in runs of rows of about `limit` bytes of text (one row may be longer)."""
-    sizes = np.fromiter((len(x) if x is not None else 0 for x in batch.column(column).to_pylist()), np.int64, batch.num_rows)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy()
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if total and total + size > limit:

@@ -30,6 +30,7 @@ EDGE = [
     (7, "Der schnelle Fuchs springt.", "de", "b", 1),  # a repeated row
     (None, "ohne Nummer", "de", None, 5),
     (8, "日本語 テキスト 😀\nzwei", None, "c", 9),
+    (9, "a <|endoftext|> b <|endoftext|><|endoftext|>\n <|endoftext", "en", "c", 9),
 ]
 
 
@@ -307,7 +308,6 @@ def test_packing(docs, edge, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for table, rows in ((docs, [(r["doc_id"], r["text"]) for r in docs.collect()]), (edge, [r[:2] for r in EDGE])):
         want = collections.Counter((i, tuple(t.encode(x or "", add_special_tokens=False).ids) + (1,)) for i, x in rows)
         pieces = packing.pack(table, None, seq_len=256, with_ids=True).collect()
@@ -333,6 +333,33 @@ def test_packing(docs, edge, empty):
     assert packing.pack(empty, None).count() == 0
 
 
+def test_packing_order_and_parts(spark, docs, edge):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    signs = packing.projection(50257, 3)
+
+    def key(text):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        cell = np.minimum(((np.tanh(4 * signs[:, ids].astype(float).sum(1) / len(ids)) + 1) * (1 << 15)).astype(np.int64), (1 << 16) - 1)
+        return int(packing.hilbert(cell[:, None], 16)[0])
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    hot = [(None, "the same text")] * 300  # equal rows in several parts
+    table = spark.createDataFrame(rows + hot, "doc_id long, text string")
+    got = packing.pack(table, seq_len=128, tokens_per_part=1000).collect()
+    sequences = sorted(got, key=lambda p: (p["sequence_id"], p["offset"]))
+    keys = dict(rows)
+    order = [key("the same text" if p["doc_id"] is None else keys[p["doc_id"]]) for p in sequences]
+    assert order == sorted(order)  # neighbours on the curve share sequences
+    parts = collections.Counter()
+    for p in sequences:
+        parts[p["sequence_id"] >> 36] += p["length"]
+    longest = max(p["doc_tokens"] for p in got)
+    assert len(parts) > 20 and max(parts.values()) <= 1000 + longest
+    assert max(sum(p["doc_id"] is None for p in sequences if p["sequence_id"] >> 36 == k) for k in parts) < 300
+
+
 def test_hilbert_curve_is_continuous():
     points = np.stack([x.ravel() for x in np.meshgrid(*[np.arange(8)] * 3, indexing="ij")])
     key = packing.hilbert(points, 3)
