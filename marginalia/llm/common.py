@@ -56,6 +56,13 @@ def table(df: DataFrame, what: str) -> DataFrame:
     return session_of(df).read.schema(df.schema).parquet(where)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame, dealt over all cores if fewer parts than cores have rows (a small input, or files of one row group). Reads no column to find out."""
+    cores = session_of(df).sparkContext.defaultParallelism
+    held = df.select(F.spark_partition_id().alias("part")).distinct().count()
+    return df.repartition(cores) if held < cores else df
+
+
 def byte_size() -> Column:
     """UTF-8 bytes of a text as a long; null has none."""
     return F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long"))

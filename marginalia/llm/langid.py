@@ -129,7 +129,7 @@ def identify(
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
     keep = [f"_keep{i}" for i in range(len(carried))]
     source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(carried, keep, strict=True)], "text", named(declared).alias("_said"), named(host).alias("_host"), named(suffix).alias("_suffix"))
-    rows = common.cut(scored(source, model, [*keep, "_said", "_host", "_suffix"]))
+    rows = common.cut(scored(common.spread(source), model, [*keep, "_said", "_host", "_suffix"]))
     languages_only = F.slice("text_log", 1, max(n, 1))
     vote = F.when((F.col("letters") > 0) & (F.array_max("text_log") == F.array_max(languages_only)), F.array_position("text_log", F.array_max("text_log")).cast("int") - 1).otherwise(n)
     rows = rows.withColumn("_vote", vote if known else F.lit(0))

@@ -112,7 +112,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * size, pa.array(tokens.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n), *sums, lists], ["doc_id", "row", "n_shingles", "h1", "h2", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    rows = common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text"))
     return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, h1 long, h2 long, sig array<long>")
 
 

@@ -113,7 +113,7 @@ def tokenized(docs: DataFrame, vocabulary: str, dims: int = 3, bits: int = 16) -
                 columns = [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n), pa.array(hilbert(cells, bits)), batch.column("row")]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "doc_tokens", "key", "row"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+    rows = common.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("row", F.monotonically_increasing_id())
     return rows.mapInArrow(run, "doc_id long, ids binary, doc_tokens long, key long, row long")
 
 

@@ -261,7 +261,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(sizes, pa.array(np.frombuffer(b"".join(packed), DTYPE).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
-    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, RESULT)
+    return common.spread(docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")).mapInArrow(run, RESULT)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -290,4 +290,4 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                 columns += [pa.array([len(t.encode()) for t in back], pa.int64()), pa.array([a == b for a, b in zip(texts, back, strict=True)])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "decoded_bytes", "restored"])
 
-    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_bytes long, restored boolean")
+    return common.spread(docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_bytes long, restored boolean")

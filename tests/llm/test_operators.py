@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -251,25 +252,82 @@ def test_archives(spark, tmp_path):
 # 6: fingerprints
 
 
-def test_winnowing_against_a_loop(spark, docs):
-    def loop(text, k=5, w=16):
-        units = [t for t in re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text)]
-        return max(1, len(units) - k + 1) if units else 0
+def rolled(text, k):
+    """Hashes of all runs of k code points, by a plain loop."""
 
-    rows = docs.select("doc_id", "text", winnow.chosen(F.col("text")).alias("fp")).collect()
-    for r in rows:
-        n, at = loop(r["text"]), [x["position"] for x in r["fp"]]
-        assert at == sorted(set(at)) and (not n) == (not at)
-        if n > 16:  # every window of 16 has a chosen position
-            assert at[0] < 16 and at[-1] >= n - 16 and max(np.diff(at), default=0) <= 16
-    same = spark.createDataFrame([("x a b c d e f g h i j k l m n o p q r s t u v w y z " + "p%d " % i * 0 + tail,) for i, tail in enumerate(["one two", "three four five"])], "t string")
-    a, b = [{x["hash"] for x in r[0]} for r in same.select(winnow.chosen(F.col("t"))).collect()]
-    assert a & b  # 26 shared units, the guarantee is 20
+    def chain(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed=seed).intdigest()
+        return seed
+
+    m, n = math.isqrt(k - 1) + 1, len(text)
+    hashes = lambda part: [chain([c]) for c in part]
+    short = lambda i: chain(hashes(text[i : i + m]))
+    places = [*range(0, k - m, m), k - m]
+    return [chain([short(i + p) for p in places if i + p < n]) & ((1 << 33) - 1) for i in range(max(1, n - k + 1))] if n else []
+
+
+def winnowed(text, k=winnow.K, w=winnow.W):
+    """(hash, position) of the smallest hash of each window, the rightmost on ties, by brute force."""
+    hashes, found = rolled(text, k), []
+    signed = [h - (1 << 33) if h >> 32 else h for h in hashes]
+    for a in range(max(1, len(hashes) - w + 1) if hashes else 0):
+        window = signed[a : a + w]
+        at = a + max(i for i, h in enumerate(window) if h == min(window))
+        if not found or found[-1][1] != at:
+            found.append((hashes[at], at))
+    return found
+
+
+def like(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_ties_go_to_the_right(spark):
-    at = spark.range(1).select(winnow.chosen(F.lit("a " * 30)).alias("f")).first()["f"]
-    assert [x["position"] for x in at] == list(range(15, 26))
+def test_winnowing_against_brute_force(spark, docs, monkeypatch):
+    texts = [r["text"] for r in docs.orderBy(F.length("text")).limit(60).collect()]
+    texts += [None, "", "a", "aa" * 40, "ab" * 40, "😀日本語" * 30, "x" * 15, "x" * 16, "y" * 31, "pq\n" * 4000, "".join(chr(97 + (i * i) % 23) for i in range(500))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: winnowed(t or "") for i, t in enumerate(texts)}
+    for stretch in (1 << 15, 37):
+        monkeypatch.setattr(winnow, "STRETCH", stretch)
+        got = {r["doc_id"]: [(x["hash"], x["position"]) for x in r["fingerprint"]] for r in winnow.fingerprints(table).collect()}
+        assert got == want
+    odd = {r["doc_id"]: [(x["hash"], x["position"]) for x in r["fingerprint"]] for r in winnow.fingerprints(table.where("doc_id < 40"), 7, 5).collect()}
+    assert odd == {i: winnowed(t or "", 7, 5) for i, t in enumerate(texts[:40])}
+
+
+def test_shared_passages_leave_a_common_hash(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefghij日本"), n))
+    rows = []
+    for i in range(200):
+        passage = word(winnow.K + winnow.W - 1)
+        rows.append((i, word(rng.integers(0, 80)) + passage + word(rng.integers(0, 80)), word(rng.integers(0, 80)) + passage + word(rng.integers(0, 80))))
+    both = spark.createDataFrame(rows, "i long, a string, b string").select(*[winnow.hashes_of(winnow.chosen(F.col(c))).alias(c) for c in "ab"])
+    assert all(set(r["a"]) & set(r["b"]) for r in both.collect())
+
+
+def test_comparison_against_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy(F.length("text")).limit(120).collect()]
+    base = sorted(rows, reverse=True)
+    want = {}
+    for (i, t), (_, other) in zip(base, base[1:] + base[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
+        own, changed, following = winnowed(t), winnowed(edited), winnowed(other)
+        show = lambda f: " ".join(f"{h:X}@{p}" for h, p in f)
+        want[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), show(own), show(changed), like(own, changed), like(own, following))
+    got = {r["doc_id"]: tuple(r)[1:] for r in winnow.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_a_long_text(spark):
+    text = "".join(np.random.default_rng(6).choice(list("abcdefgh "), 300_000))
+    table = spark.createDataFrame([(1, text), (2, "x" + text), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: {x["hash"] for x in r["fingerprint"]} for r in winnow.fingerprints(table).collect()}
+    assert len(got[1] & got[2]) >= 0.999 * len(got[1]) > 30_000 and got[3] == set()
+    assert {r["doc_id"]: round(r["near_next"], 2) for r in winnow.compared(table).collect()} == {1: 0.0, 2: 1.0, 3: 0.0}
 
 
 def test_edited_texts(spark, docs, edge, empty):
@@ -285,10 +343,28 @@ def test_edited_texts(spark, docs, edge, empty):
     assert winnow.compared(edge.limit(1)).first()["near_next"] == 1.0  # a single row follows itself
 
 
+def test_repeated_and_missing_ids(spark):
+    rows = [(None, f"t{i} and more of this text to fill a window") for i in range(90)] + [(5, f"u{i} is what is written here at length") for i in range(80)] + [(7, "the same text again and again and again")] * 40 + [(None, None)] * 30 + [(i, f"{i} of many") for i in range(10, 60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = winnow.compared(table).collect()
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), hashlib.sha1((r[1] or "").encode()).hexdigest()))
+    want = collections.Counter()
+    for (i, t), (_, other) in zip(order, order[1:] + order[:1], strict=True):
+        t, other = t or "", other or ""
+        want[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + other[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+
+
 def test_following_rows_in_buckets(spark):
-    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("").alias("_tie"), F.col("id").cast("string").alias("v"))
+    tie = lambda c: F.sha1(c.cast("string"))
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), tie(F.col("id")).alias("_tie"), F.col("id").cast("string").alias("v"))
     got = {r["doc_id"]: r["next_v"] for r in winnow.followed(rows, ["v"], rows_per_bucket=37).collect()}
     assert got == {i: str((i - 1) % 1000) for i in range(1000)}
+    # a third of the rows under one id, a third under none
+    hot = spark.range(600).select(F.when(F.col("id") < 200, 50).when(F.col("id") >= 400, F.col("id") - 400).alias("doc_id"), tie(F.col("id")).alias("_tie"), F.col("id").cast("string").alias("v"))
+    rows = sorted(((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["_tie"], r["v"]) for r in hot.collect()), key=lambda r: (-r[0], r[1]))
+    got = {r["v"]: r["next_v"] for r in winnow.followed(hot, ["v"], rows_per_bucket=20).collect()}
+    assert got == {a[2]: b[2] for a, b in zip(rows, rows[1:] + rows[:1], strict=True)}
 
 
 def test_place_among_bounds(spark):
