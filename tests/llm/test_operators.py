@@ -94,6 +94,19 @@ def test_lines_of_many_templates_in_a_leaf(spark):
         assert got == {i: int(i % 10 > 0) for i, _ in rows}
 
 
+def test_lines_when_nothing_is_broadcast(spark, docs, monkeypatch):
+    before = sorted(tuple(r) for r in line_dedup.dedup_lines(docs).collect())
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", -1)
+    assert sorted(tuple(r) for r in line_dedup.dedup_lines(docs).collect()) == before
+
+
+def test_very_many_recurring_lines_in_a_text(spark):
+    text = "\n".join(f"recurring line number {w} of this long list of lines" for w in ("a" * (1 + i % 7) + chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26) for i in range(120_000)))
+    table = spark.createDataFrame([(1, text), (2, text + "\nown")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_dropped"], r["text"] if r["doc_id"] == 2 else None) for r in line_dedup.dedup_lines(table).collect()}
+    assert got == {1: (0, None), 2: (120_000, "own")}
+
+
 # 2: near-duplicates
 
 
@@ -545,7 +558,7 @@ def test_nearest_recall_and_order(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 1, (1500, 16)) for c in (0, 3, -3)])
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = ann.nearest(rows, 10, every=100, rows_per_cell=200, block_rows=300, rerank=128).collect()
+    got = ann.nearest(rows, 10, every=100, block_rows=300, chunk_queries=16, rerank=128).collect()
     hits = 0
     for q in range(0, len(x), 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
@@ -556,6 +569,33 @@ def test_nearest_recall_and_order(spark):
     assert hits >= 0.9 * len({r["query_id"] for r in got}) * 10
 
 
+@pytest.mark.parametrize("block_rows", [8192, 200])
+def test_nearest_recall_on_the_table(spark, block_rows):
+    """At the parameters of the query: 45 cells, of which some are never probed; then also in small blocks."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.nearest(rows, block_rows=block_rows).collect()
+    ids, x = zip(*((r["vec_id"], r["embedding"]) for r in rows.collect()), strict=True)
+    ids, x = np.array(ids), np.array(x, np.float64)
+    own = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r["rank"]):
+        own[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    assert set(own) == {i for i in ids.tolist() if i % 100 == 0}
+    for q, found in own.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        assert len(found) == 10 and all(abs(s - d[ids == v][0]) < 1e-12 for v, s in found) and found == sorted(found, key=lambda p: (p[1], p[0]))
+        hits += len({v for v, _ in found} & set(ids[np.argsort(d)[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(own), hits / (10 * len(own))
+
+
+@pytest.mark.parametrize("n", [1, 5, 11, 12, 40])
+def test_nearest_of_few_rows(spark, n):
+    rows = spark.createDataFrame([(100 * i, [float(i), 1.0, float(i % 3)]) for i in range(n)], "vec_id long, embedding array<double>")
+    got = collections.Counter(r["query_id"] for r in ann.nearest(rows, 10).collect())
+    assert got == ({100 * i: min(10, n - 1) for i in range(n)} if n > 1 else {})
+
+
 def test_nearest_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (5, [2.0, 0.0]), (3, [2.0, 0.0]), (4, None), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0]), (9, [float("inf"), 1.0]), (None, [1.0, 1.0]), (100, [1.5, 0.0]), (0, [1.0, 0.0]), (11, [1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("x", F.lit(2))
