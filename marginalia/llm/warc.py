@@ -3,8 +3,9 @@
 A bundle is a row of independent Zstandard frames, each with a group of whole WARC/1.1 records,
 and at its end a skippable frame with the seek table (the public seekable format: 4-byte compressed
 and decompressed sizes of each frame, then frame count, descriptor and magic number). The index
-maps a record to (bundle, frame, offset in the decompressed frame, length), so that a single frame
-is read to fetch it.
+maps a record identifier to (bundle, frame, offset in the decompressed frame, length), so that a
+single frame is read to fetch it. It is a Parquet table beside the bundles and also their manifest:
+bundles of failed or repeated attempts are not in it and so never read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ FOOTER = struct.Struct("<IBI")
 
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
+#: Folder of the index below that of the bundles.
+INDEX = "index"
 INDEX_SCHEMA = "record_id string, bundle string, frame int, offset long, length long"
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, bundle string, frame int, offset long"
 
@@ -48,7 +51,7 @@ def record_uri(page_id: int | None) -> str:
 
 
 def page_of(uri: str | None) -> int | None:
-    tail = (uri or "").strip("<>").rpartition(":")[2]
+    tail = (uri or "").strip("<>").rpartition(":")[2].partition(";")[0]
     return int(tail) if tail else None
 
 
@@ -56,14 +59,14 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
+def make_record(record_id: str, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
     """One WARC record; a revisit keeps the HTTP head with the full length but no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{record_uri(page_id)}>",
+        f"WARC-Record-ID: <{record_id}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -170,13 +173,16 @@ def files(where: str):
 
 
 def write_archives(pages: DataFrame, where: str, *, least_bytes: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 25) -> DataFrame:
-    """Writes a record for each row of pages (page_id, url, html) to bundles in a shared folder; returns the index.
+    """Writes a record for each row of pages (page_id, url, html) to bundles in a shared folder, and their index; returns the index.
 
     Among rows of equal payload (of at least least_bytes), that with the largest page_id is a
     response and the others revisit it; smaller payloads are all responses. A null html is an empty
     payload, a null page_id sorts before all others, a null url leaves its header out. Repeated rows
-    of the largest page_id are all responses. Bundles hold page_ids in order and end at
-    bundle_bytes; a retried task replaces its own files as a whole. An empty table writes no bundle.
+    of the largest page_id are all responses; of rows with one page_id the first in a partition has the page's
+    identifier, further ones have one of their own. A long payload is held by one task with its
+    frame. Bundles end at bundle_bytes; an attempt of a task writes files of its own, which count
+    only once its part of the index is committed. An empty table writes no bundle. Other columns of
+    pages are not kept, whatever their names.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(html)).alias("digest"))
@@ -187,67 +193,80 @@ def write_archives(pages: DataFrame, where: str, *, least_bytes: int = 0, frame_
     older = older.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     rows = rows.join(older, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     rows = rows.select("page_id", "url", "html", "digest", "refers_to", F.col("_digest").isNotNull().alias("revisit"))
-    rows = rows.sortWithinPartitions("page_id", "url")
+    rows = rows.sortWithinPartitions("page_id", "revisit", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
         store, folder = files(where)
         store.create_dir(folder, recursive=True)
-        writer, count, temp, final = None, 0, "", ""
-
-        def finish():
-            writer.close()
-            store.move(temp, final)
-            return batch_of(writer.index, INDEX_SCHEMA)
+        attempt, writer, count, last = uuid.uuid4().hex, None, 0, ()
 
         for batch in batches:
             for page_id, url, text, digest, refers_to, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")), strict=True):
                 if writer is None:
-                    name = f"part-{context.partitionId():06d}-{count:05d}.warc.zst"
-                    temp, final, count = f"{folder}/.{name}.{uuid.uuid4().hex}", f"{folder}/{name}", count + 1
-                    writer = BundleWriter(store.open_output_stream(temp), name, frame_bytes)
-                made = make_record(page_id, url, text.encode(), base64.b32encode(digest).decode(), revisit, refers_to)
-                writer.add(record_uri(page_id), made)
+                    name, count = f"{attempt}-{count:05d}.warc.zst", count + 1
+                    writer = BundleWriter(store.open_output_stream(f"{folder}/{name}", compression=None), name, frame_bytes)
+                record_id = record_uri(page_id)
+                if last == (page_id,):
+                    record_id = f"{record_uri(page_id)};{uuid.uuid4().hex}"
+                last = (page_id,)
+                writer.add(record_id, make_record(record_id, url, text.encode(), base64.b32encode(digest).decode(), revisit, refers_to))
                 if writer.written >= bundle_bytes:
-                    yield finish()
+                    writer.close()
+                    yield batch_of(writer.index, INDEX_SCHEMA)
                     writer = None
         if writer is not None:
-            yield finish()
+            writer.close()
+            yield batch_of(writer.index, INDEX_SCHEMA)
 
-    return rows.mapInArrow(write, INDEX_SCHEMA)
+    rows.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{where}/{INDEX}")
+    return index_of(common.session_of(pages), where)
 
 
-def read_archives(spark, where: str) -> DataFrame:
-    """Every record of the bundles in a folder, frame by frame, with its place; intact: the payload fits its digest."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(where)
+def index_of(spark, where: str) -> DataFrame:
+    """The index of the bundles in a folder: record_id, bundle, frame, offset, length."""
+    return spark.read.schema(INDEX_SCHEMA).parquet(f"{where}/{INDEX}")
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                name, bundle = path.rpartition("/")[2], io.BytesIO(content)
-                for k, (start, packed, size) in enumerate(seek_table(bundle)):
-                    rows = []
-                    for r in records_in(codec.decompress(content[start : start + packed], max_output_size=max(size, 1))):
-                        kind, digest = r.headers["WARC-Type"], r.headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                        length = int(re.search(rb"Content-Length: (\d+)", r.http)[1])
-                        fits = kind == "revisit" and not r.payload or len(r.payload) == length and digest_of(r.payload) == digest
-                        rows.append((page_of(r.headers["WARC-Record-ID"]), length, digest, kind, page_of(r.headers.get("WARC-Refers-To")), fits, name, k, r.offset))
-                    yield batch_of(rows, RECORD_SCHEMA)
 
-    return found.select("path", "content").mapInArrow(parse, RECORD_SCHEMA)
+def fetch_records(index: DataFrame, where: str) -> DataFrame:
+    """The records that the rows of an index point at, with their place; intact: the identifier and the payload's digest are as they should be.
+
+    The rows of a bundle are sorted by their place; a task reads the footer of a bundle once and of
+    each frame that is asked for its own bytes. A record asked for twice comes twice; an empty index
+    gives none.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = files(where)
+        codec, bundle, open_bundle, open_frame, frame, table = zstandard.ZstdDecompressor(), None, None, None, b"", []
+        for batch in batches:
+            rows = []
+            for record_id, name, k, offset, length in zip(*(batch.column(c).to_pylist() for c in ("record_id", "bundle", "frame", "offset", "length")), strict=True):
+                if name != open_bundle:
+                    if bundle is not None:
+                        bundle.close()
+                    bundle, open_bundle, open_frame = store.open_input_file(f"{folder}/{name}"), name, None
+                    table = seek_table(bundle)
+                if k != open_frame:
+                    start, packed, size = table[k]
+                    bundle.seek(start)
+                    frame, open_frame = codec.decompress(bundle.read(packed), max_output_size=max(size, 1)), k
+                r = next(records_in(frame[offset : offset + length]))
+                kind, digest = r.headers["WARC-Type"], r.headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                size = int(re.search(rb"Content-Length: (\d+)", r.http)[1])
+                fits = kind == "revisit" and not r.payload or len(r.payload) == size and digest_of(r.payload) == digest
+                fits = fits and r.headers["WARC-Record-ID"] == f"<{record_id}>"
+                rows.append((page_of(r.headers["WARC-Record-ID"]), size, digest, kind, page_of(r.headers.get("WARC-Refers-To")), fits, name, k, offset))
+            yield batch_of(rows, RECORD_SCHEMA)
+        if bundle is not None:
+            bundle.close()
+
+    return index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(read, RECORD_SCHEMA)
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes pages to a fresh folder of archives and reads every record back."""
-    spark = common.session_of(pages)
-    where = common.fresh_dir(spark, "warc")
-    written = write_archives(pages, where, **options).agg(F.count("*")).first()[0]
-    if not written:
-        return spark.createDataFrame([], RECORD_SCHEMA)
-    return read_archives(spark, where)
+    """Writes pages to a fresh folder of archives and fetches every record back through the index."""
+    where = common.fresh_dir(common.session_of(pages), "warc")
+    return fetch_records(write_archives(pages, where, **options), where)
 
 
 SQL = """

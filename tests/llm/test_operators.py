@@ -253,13 +253,21 @@ def test_archives(spark, tmp_path):
     assert sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in got) == want
     assert all(r["intact"] and len(r["payload_digest"]) == 32 for r in got)
     where = str(tmp_path / "w")
-    index = warc.write_archives(pages, where, frame_bytes=2000).collect()
+    table = warc.write_archives(pages, where, frame_bytes=2000)
+    index = table.collect()
     by = {r["record_id"]: r for r in index}
+    assert len(by) == len(rows)  # identifiers are unique
+    some = warc.fetch_records(table.where(F.col("record_id").isin(warc.record_uri(42), warc.record_uri(77))), where).collect()
+    assert {r["page_id"] for r in some} == {42, 77} and all(r["intact"] for r in some)
+    (tmp_path / "w" / "stale.warc.zst").write_bytes(b"left by a lost attempt")
+    assert warc.fetch_records(warc.index_of(spark, where), where).count() == len(rows)
     r = by[warc.record_uri(42)]
     with open(f"{where}/{r['bundle']}", "rb") as bundle:
         record = warc.fetch(bundle, r["frame"], r["offset"], r["length"])
     assert record.headers["WARC-Record-ID"] == "<urn:marginalia:page:42>" and len(warc.seek_table(io.BytesIO(open(f"{where}/{r['bundle']}", "rb").read()))) > 1
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "u", "lang " * 2_000_000), (2, "u", "kurz")], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["payload_bytes"], r["intact"]) for r in warc.archive_round_trip(long).collect()) == [(1, 10_000_000, True), (2, 4, True)]
 
 
 # 6: fingerprints
