@@ -2,9 +2,11 @@
 
 The best segmentation is the one of largest total piece score. The search keeps scores for as many
 boundaries as the longest piece has characters, and backpointers since the last commit. It commits
-ids as soon as all surviving paths run through one boundary. In this vocabulary no piece goes on
-over the start of a word, so that each word is such a place: words are searched by themselves and
-their ids kept in a bounded memory.
+ids as soon as all surviving paths run through one boundary. Where no piece of a vocabulary goes on
+over the start of a word, all paths run through each such start; what the stream commits between
+two of them depends on that word alone and is kept in a bounded memory, so that a word is streamed
+once. The model at hand has the scores of a BPE model: the best segmentation by its scores is not
+always the one that its library's merges give.
 """
 
 from __future__ import annotations
@@ -78,40 +80,34 @@ class StreamingViterbi:
         self.walk = 4 * vocabulary.longest
 
     def _expand(self, last: bool) -> Iterator[list[int]]:
-        text, trie, worst = self.text, self.v.trie, self.v.worst
+        text, score_of, worst, best, back = self.text, self.v.trie.get, self.v.worst, self.best, self.back
         end = len(text)
         stop = end if last else end - self.v.longest + 1  # a piece might go on beyond what has been fed
-        best, back = self.best, self.back
-        i = self.at
+        i, reach = self.at, self.reach
         while i < stop:
-            if i and self.reach <= i:
+            if i and reach <= i:
+                self.at, self.reach = i, reach
                 yield self._commit(i)
-                text, best, back, end, stop, i = self.text, self.best, self.back, len(self.text), stop - i, 0
-            if len(best) <= end:
-                best += [None] * (end + 1 - len(best))
-                back += [0] * (end + 1 - len(back))
-            here, j, single = best[i], i + 1, False
+                text, best, back, end, stop, i, reach = self.text, self.best, self.back, len(self.text), stop - i, 0, self.reach
+            here = best[i]
             if here is not None:
-                while j <= end:
-                    piece = text[i:j]
-                    score = trie.get(piece, 0)
-                    if score is not None:
-                        if score == 0 and piece not in trie:
-                            break
-                        single = single or j == i + 1
-                        if best[j] is None or here + score > best[j]:
-                            best[j], back[j] = here + score, i
-                        if j > self.reach:
-                            self.reach = j
+                j = i + 1
+                score = score_of(text[i:j], 0)
+                if not score:  # no piece of one character
+                    spelt = here + worst * len(text[i].encode())
+                    if best[j] is None or spelt > best[j]:
+                        best[j], back[j] = spelt, i
+                while score != 0:
+                    if score is not None and (best[j] is None or here + score > best[j]):
+                        best[j], back[j] = here + score, i
                     j += 1
-                if not single:
-                    score = here + worst * len(text[i].encode())
-                    if best[i + 1] is None or score > best[i + 1]:
-                        best[i + 1], back[i + 1] = score, i
-                    self.reach = max(self.reach, i + 1)
+                    if j > end:
+                        break
+                    score = score_of(text[i:j], 0)
+                reach = max(reach, i + 1, j - 1)
             i += 1
-            self.at = i
             if i >= self.walk:
+                self.at, self.reach = i, reach
                 # do all surviving paths (ends within the reach of a piece) share a boundary?
                 ends = {k for k in range(i, min(i + self.v.longest, end) + 1) if best[k] is not None}
                 while len(ends) > 1 and max(ends) > 0:
@@ -121,9 +117,9 @@ class StreamingViterbi:
                 met = ends.pop() if ends else 0
                 if met:
                     yield self._commit(met)
-                    text, best, back, end, stop, i = self.text, self.best, self.back, len(self.text), stop - met, i - met
+                    text, best, back, end, stop, i, reach = self.text, self.best, self.back, len(self.text), stop - met, i - met, self.reach
                 self.walk = self.at + 4 * self.v.longest
-        self.at = i
+        self.at, self.reach = i, reach
 
     def _commit(self, boundary: int) -> list[int]:
         ids = self._path(boundary)
@@ -146,7 +142,10 @@ class StreamingViterbi:
 
     def feed(self, text: str) -> Iterator[list[int]]:
         self.text += text
-        yield from self._expand(False)
+        self.best += [None] * len(text)
+        self.back += [0] * len(text)
+        if len(self.text) - self.at >= self.v.longest:
+            yield from self._expand(False)
 
     def finish(self) -> Iterator[list[int]]:
         yield from self._expand(True)
@@ -165,41 +164,14 @@ class Codec:
         self.old: dict[str, bytes] = {}
 
     def search(self, text: str) -> bytes:
-        """Ids of a text in which spaces are marked already, fed in windows; one that fits a single window needs no commits."""
-        if len(text) <= 4 * self.v.longest:
-            return self._window(text)
-        stream, ids = StreamingViterbi(self.v), []
+        """Ids of a text in which spaces are marked already, from the stream, fed in parts."""
+        stream, ids = StreamingViterbi(self.v), array("I")
         for k in range(0, len(text), self.LONG):
             for part in stream.feed(text[k : k + self.LONG]):
-                ids += part
+                ids.extend(part)
         for part in stream.finish():
-            ids += part
-        return np.array(ids, DTYPE).tobytes()
-
-    def _window(self, text: str) -> bytes:
-        n, trie, worst = len(text), self.v.trie, self.v.worst
-        best, back = [0.0] + [None] * n, [0] * (n + 1)
-        for i in range(n):
-            here, j = best[i], i + 1
-            if here is None:
-                continue
-            score = trie.get(text[i:j], 0)
-            if not score:  # no piece of one character
-                best[j], back[j] = (here + worst * len(text[i].encode()), i) if best[j] is None or here + worst * len(text[i].encode()) > best[j] else (best[j], back[j])
-            while score != 0:
-                if score is not None and (best[j] is None or here + score > best[j]):
-                    best[j], back[j] = here + score, i
-                j += 1
-                if j > n:
-                    break
-                score = trie.get(text[i:j], 0)
-        ids: list[int] = []
-        while n:
-            piece = text[back[n] : n]
-            found = self.v.ids.get(piece)
-            ids += [found] if found is not None else self.v.fallback(piece)[::-1]
-            n = back[n]
-        return array("I", ids[::-1]).tobytes()
+            ids.extend(part)
+        return ids.tobytes()
 
     def word(self, word: str) -> bytes:
         found = self.old.get(word)
@@ -250,7 +222,12 @@ class Codec:
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and ids of each row of docs; null and empty texts have no ids. Repeated rows are encoded each; other columns are not carried."""
+    """doc_id and ids of each row of docs; null and empty texts have no ids.
+
+    Of a long text a task holds the text and its ids, the search only a window. Repeated rows are
+    encoded each, null doc_ids stay, an empty table gives an empty result; other columns are not
+    carried, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
@@ -265,7 +242,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and text of each row of (doc_id, ids); no ids or null give an empty text."""
+    """doc_id and text of each row of (doc_id, ids); no ids or null give an empty text. Repeated rows are decoded each; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
@@ -277,7 +254,10 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (unsigned, of little-endian 32-bit ids), decoded_bytes and restored (the decoded text equals the text; null as empty)."""
+    """doc_id, n_ids, ids_crc32 (unsigned, of little-endian 32-bit ids), decoded_bytes and restored (the decoded text equals the text; null as empty).
+
+    One row for each of docs, repeated or not; long texts, empty tables and other columns as in encode().
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
