@@ -15,7 +15,18 @@ KINDS = [
     ("money", ["руб", "тыс", "млн", "млрд", "стоим", "выруч", "доход", "расход", "затрат", "прибыл", "себестоим"]),
     ("ratio", ["коэфф", "показат", "удельн", "на 1", "на 1 руб", "на рубль", "рентаб"]),
 ]
-UNITS = {"%": "%", "проц": "%", "процент": "%", "‰": "‰", "промилле": "‰", "п.п.": "п.п.", "пп": "п.п.", "шт": "шт", "шт.": "шт", "руб": "₽", "руб.": "₽", "₽": "₽", "eur": "€", "€": "€", "usd": "$", "$": "$", "тыс": "тыс.", "тыс.": "тыс.", "млн": "млн", "млн.": "млн"}
+# Each unit with the ways it is written.
+UNITS = {
+    "%": ["%", "percent", "perc", "pct", "проц", "процент"],
+    "‰": ["‰", "permil", "per mille", "промилле"],
+    "п.п.": ["pp", "п.п.", "пп"],
+    "шт": ["pcs", "шт", "шт.", "штук", "ед", "units", "unit"],
+    "₽": ["rub", "₽", "руб", "руб.", "р", "р."],
+    "€": ["eur", "€", "евро"],
+    "$": ["usd", "$", "доллар", "долл."],
+    "тыс.": ["тыс", "тыс.", "k"],
+    "млн": ["млн", "млн.", "mln", "m"],
+}
 PERCENT, PERMILLE, POINTS, CURRENCY = r"%", "‰", r"(?iU)п\.?\s?п\.?|\bpp\b", r"(?i)руб\.?|₽|\$|€|usd|eur|rub"
 
 
@@ -33,7 +44,7 @@ def plain_number(text: Column) -> Column:
     t = spaced(text)
     inner = F.regexp_extract(t, r"^\((.*)\)$", 1)
     body = F.when(t.rlike(r"^\(.*\)$"), inner).otherwise(t)
-    run = F.regexp_extract(body, r"[+-]?\s*(?:\d+[ ']?)*\d(?:[.,]\d+)?", 0)
+    run = F.regexp_extract(body, r"[+-]?\s*(?:(?:\d+[ ']?)*\d(?:[.,]\d+)?|[.,]\d+)", 0)
     value = F.regexp_replace(F.regexp_replace(run, r"[ ']", ""), ",", ".").try_cast("double")
     return F.when(t.rlike(r"^\(.*\)$"), -value).otherwise(value)
 
@@ -106,10 +117,25 @@ def scale_of(text: Column) -> Column:
 
 
 def unit_of(text: Column) -> Column:
-    """The canonical unit, else the trimmed text."""
-    t = F.lower(F.trim(text))
-    table = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    return F.coalesce(F.element_at(table, t), F.trim(text))
+    """The canonical unit, else the text, trimmed and lower-cased; null as empty."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    table = F.create_map(*[F.lit(x) for unit, ways in UNITS.items() for way in ways for x in (way, unit)])
+    return F.coalesce(F.element_at(table, t), t)
+
+
+def decimal_of(text: Column) -> Column:
+    """A text that is a single number, with spaces, a percent sign or a decimal comma, as a decimal; else null."""
+    t = F.replace(F.regexp_replace(spaced(text), r"(?U)[\s%]+", ""), F.lit(","), F.lit("."))
+    return F.when(t != "", t.try_cast("decimal(38,18)"))
+
+
+def is_year(x: Column) -> Column:
+    """Whether a number, rounded to even, is a year from 1900 to 2100."""
+    return F.rint(x).between(1900, 2100)
+
+
+def is_small_index(x: Column) -> Column:
+    return F.abs(x) <= 200
 
 
 #: Ways to get a column from two others; a null where a denominator is near 0.

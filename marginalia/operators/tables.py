@@ -50,3 +50,11 @@ def csv_line(cells: Column) -> Column:
 def quality(filled: Column, numeric: Column) -> Column:
     """Recognition quality of a table from its shares of filled and of numeric cells."""
     return F.when((filled < 0.25) | (numeric < 0.20), "low").when((filled < 0.45) | (numeric < 0.35), "mid").otherwise("high")
+
+
+def recognised(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, the shares of filled and of numeric cells among all cells of a table's rows (`cells`), and its quality."""
+    filled = F.size(F.filter("cells", lambda c: F.trim(c) != ""))
+    numeric = F.size(F.filter("cells", lambda c: numbers.cell_number(c).isNotNull()))
+    shares = rows.groupBy(*keys).agg(F.round(F.sum(filled) / F.sum(F.size("cells")), 4).alias("filled"), F.round(F.sum(numeric) / F.sum(F.size("cells")), 4).alias("numeric"))
+    return shares.withColumn("quality", quality(F.col("filled"), F.col("numeric")))

@@ -57,8 +57,9 @@ def fold_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_suppkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median, round(median(l_quantity), 6) AS middle FROM lineitem GROUP BY l_suppkey")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_suppkey")
-    return rows.agg(agg.upper_median(F.col("l_quantity")).alias("upper_median"), F.round(F.percentile("l_quantity", 0.5), 6).alias("middle"))
+    rows = read(spark, sf_dir, "lineitem")
+    upper = agg.upper_medians(rows.select("l_suppkey", F.col("l_quantity").alias("upper_median")), ["l_suppkey"], ["upper_median"]).drop("n")
+    return upper.join(rows.groupBy("l_suppkey").agg(F.round(F.percentile("l_quantity", 0.5), 6).alias("middle")), "l_suppkey")
 
 
 @query("""WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from marginalia.functions import labels, numbers, texts
-from marginalia.operators import tables
+from marginalia.functions import labels, texts
 from marginalia.plans.registry import query, read
 from marginalia.sources import chunks
 from marginalia.plans.understanding_queries import _cases
@@ -21,16 +20,6 @@ def calc_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(fits).select("doc_id", "id", F.row_number().over(Window.partitionBy("doc_id").orderBy("id")).alias("place")).where("place <= 140")
 
 
-YEARS = [(1, 2020.0, True, False), (2, 150.0, False, True), (3, 2019.6, True, False), (4, -200.0, False, True), (5, 2100.4, True, False), (6, 2100.6, False, False), (7, 1899.0, False, False)]
-
-
-@query(f"SELECT id, CAST(x AS DOUBLE) AS x, year, small FROM {_cases([(a, b, str(c), str(d)) for a, b, c, d in YEARS])} AS t(id, x, y, s), LATERAL (SELECT y = 'True' AS year, s = 'True' AS small)")
-def years_and_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers that look like years (rounded to even) or like small indexes."""
-    rows = spark.createDataFrame([r[:2] for r in YEARS], "id int, x double")
-    return rows.select("id", "x", F.rint("x").between(1900, 2100).alias("year"), (F.abs("x") <= 200).alias("small"))
-
-
 SAMPLES = [(1, "N=40, 20 матерей и 20 отцов", 40, 40), (2, "Выборка составила 125 человек", 125, None), (3, "12 юношей и 18 девушек", 30, 30), (4, "нет", None, None)]
 
 
@@ -46,13 +35,6 @@ def sample_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.when(n.between(2, 5000), n).alias("n"), groups.alias("groups"))
 
 
-@query("SELECT doc_id, filled, numeric, CASE WHEN filled < 0.25 OR numeric < 0.2 THEN 'low' WHEN filled < 0.45 OR numeric < 0.35 THEN 'mid' ELSE 'high' END AS quality FROM (SELECT l_orderkey AS doc_id, round(avg(CASE WHEN l_quantity > 20 THEN 1.0 ELSE 0 END), 4) AS filled, round(avg(CASE WHEN l_discount > 0.03 THEN 1.0 ELSE 0 END), 4) AS numeric FROM lineitem GROUP BY 1)")
-def recognition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
-    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(share(F.col("l_quantity") > 20).alias("filled"), share(F.col("l_discount") > 0.03).alias("numeric"))
-    return rows.withColumn("quality", tables.quality(F.col("filled"), F.col("numeric")))
-
-
 @query()
 def cut_for_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut at paragraphs, lines, sentences or words into pieces of 3500 characters. Not in SQL: each cut depends on the one before."""
@@ -87,14 +69,6 @@ def rows_and_chars_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", shown.alias("shown"), F.size("ls").alias("total_rows")).withColumn("truncated", F.col("shown") < F.col("total_rows"))
 
 
-UNITS = [("%", "%"), ("проц", "%"), ("Руб.", "₽"), (" шт ", "шт"), ("млн", "млн"), ("тыс", "тыс."), ("кг", "кг"), ("USD", "$")]
-
-
-@query(f"SELECT raw, unit FROM {_cases(UNITS)} AS t(raw, unit)")
-def unit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:1] for r in UNITS], "raw string").select("raw", numbers.unit_of(F.col("raw")).alias("unit"))
-
-
 ENCODED = [
     (1, '{"chart_data":[{"label":"A","value":1.5,"unit":"%"},{"label":"B","value":2,"unit":"%","series_name":"s"}]}'),
     (2, '{"chart_data":{"categories":["x","y"],"series":[{"name":"n","values":[3,4],"unit":"u"},{"name":"m","values":[9,9]}]}}'),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: A chunk's id: its document's id times this, plus its position.
-PER_DOCUMENT = 100_000
+#: A chunk's id: its document's id shifted by so many bits, plus its position, which no text can exceed.
+POSITION_BITS = 31
 
 
 def line_chunks(docs: DataFrame) -> DataFrame:
@@ -17,12 +17,12 @@ def line_chunks(docs: DataFrame) -> DataFrame:
     kind = F.when(F.col("pos") % 10 == 0, "heading").when(F.col("text").contains(" | "), "table_row").otherwise("text")
     section = F.floor(F.col("pos") / 10).cast("string")
     path = F.when(kind == "table_row", F.concat(F.lit("S"), section, F.lit(" / T"), section, F.lit(" [row "), (F.col("pos") % 10).cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("S"), section))
-    return rows.select("doc_id", "owner_id", (F.col("doc_id") * PER_DOCUMENT + F.col("pos")).alias("id"), "pos", "text", kind.alias("element_type"), path.alias("section_path"))
+    return rows.select("doc_id", "owner_id", (F.shiftleft("doc_id", POSITION_BITS) + F.col("pos")).alias("id"), "pos", "text", kind.alias("element_type"), path.alias("section_path"))
 
 
 #: The same as a common table expression.
 SQL = """chunks AS (
-  SELECT doc_id, owner_id, doc_id * 100000 + pos AS id, pos, text,
+  SELECT doc_id, owner_id, doc_id * 2147483648 + pos AS id, pos, text,
          CASE WHEN pos % 10 = 0 THEN 'heading' WHEN contains(text, ' | ') THEN 'table_row' ELSE 'text' END AS element_type,
          CASE WHEN pos % 10 <> 0 AND contains(text, ' | ') THEN 'S' || (pos // 10) || ' / T' || (pos // 10) || ' [row ' || (pos % 10) || ']' ELSE 'S' || (pos // 10) END AS section_path
   FROM (SELECT doc_id, source AS owner_id, unnest(range(len(l))) AS pos, unnest(l) AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)))"""
