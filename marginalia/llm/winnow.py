@@ -42,7 +42,7 @@ def joined_runs(values: Column, span: int, join, use) -> Column:
 def chosen(text: Column, k: int = K, w: int = W, base: Column | int = 0) -> Column:
     """Entries of the chosen hashes in order of position: array of long.
 
-    An entry holds 33 bits of the hash of k code points (of all of a shorter text) and, in its low 31
+    An entry holds 32 bits of the hash of k code points (of all of a shorter text) and, in its low 31
     bits, the position of the first of them, from `base`. Empty for an empty text, null for null. A
     text of fewer than k + w - 1 code points is a single window.
     """
@@ -50,7 +50,7 @@ def chosen(text: Column, k: int = K, w: int = W, base: Column | int = 0) -> Colu
     def stretch(start: Column) -> Column:
         piece = F.substring(text, start + 1, F.lit(STRETCH + k + w - 2))
         grams = F.greatest(F.length(piece) - (k - 1), F.lit(1))
-        order = lambda hashes: F.transform(F.slice(hashes, 1, grams), lambda h, i: F.shiftleft(h, POSITION_BITS).bitwiseOR((F.lit(POSITIONS) - i).cast("long")))
+        order = lambda hashes: F.transform(F.slice(hashes, 1, grams), lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(0xFFFFFFFF)), POSITION_BITS).bitwiseOR((F.lit(POSITIONS) - i).cast("long")))
         least = lambda keys: F.array_distinct(F.slice(keys, 1, F.greatest(grams - (w - 1), F.lit(1))))
         hashes = F.transform(F.split(piece, ""), lambda c: F.xxhash64(c))
         found = once(hashes, lambda h: joined_runs(h, k, F.xxhash64, lambda rolled: once(order(rolled), lambda keys: joined_runs(keys, w, F.least, least))))
@@ -70,6 +70,24 @@ def hash_of(entry: Column) -> Column:
     return F.shiftrightunsigned(entry, POSITION_BITS)
 
 
+def packed(fingerprint: Column, length: Column) -> Column:
+    """The entries at 6 bytes each, as they are shuffled: for each stretch of the text their hashes (shifted to fit an int) and places in the stretch."""
+    size = F.lit(STRETCH).cast("long")
+    within = lambda k: F.filter(fingerprint, lambda e: F.floor(position(e) / size) == k)
+
+    def one(held: Column) -> Column:
+        hashes = F.transform(held, lambda e: (hash_of(e) - F.lit(1 << 31)).cast("int"))
+        return F.struct(hashes.alias("hashes"), F.transform(held, lambda e: (position(e) % size).cast("short")).alias("places"))
+
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(length / size)), lambda k: once(within(k), one))
+    return F.when(length < STRETCH, F.array(once(fingerprint, one))).otherwise(every)
+
+
+def unpacked(stretches: Column) -> Column:
+    entry = lambda h, p, k: F.shiftleft(h.cast("long") + F.lit(1 << 31), POSITION_BITS).bitwiseOR(p.cast("long") + k.cast("long") * STRETCH)
+    return F.flatten(F.transform(stretches, lambda s, k: F.zip_with(s["hashes"], s["places"], lambda h, p: entry(h, p, k))))
+
+
 def chosen_after_edit(fingerprint: Column, edited: Column, same: Column, k: int = K, w: int = W) -> Column:
     """Entries of an edited text whose first `same` code points are those of the text that fingerprint is of.
 
@@ -79,7 +97,8 @@ def chosen_after_edit(fingerprint: Column, edited: Column, same: Column, k: int
     first = F.greatest(same - (k + w - 1), F.lit(0)).cast("int")
     rest = once(F.struct(F.substring(edited, first + 1, F.length(edited)).alias("t"), first.alias("f")), lambda x: chosen(x["t"], k, w, x["f"]))
     before = lambda tail: F.filter(fingerprint, lambda e: position(e) < position(F.element_at(tail, 1)))
-    return once(rest, lambda tail: F.when(F.size(tail) == 0, tail).otherwise(F.concat(before(tail), tail)))
+    # without a whole window in the same part nothing is known beforehand
+    return once(rest, lambda tail: F.when(same < k + w - 1, tail).otherwise(F.concat(before(tail), tail)))
 
 
 def hashes_of(fingerprint: Column) -> Column:
@@ -178,13 +197,15 @@ def compared(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     repeated = bool(rows.groupBy("doc_id", "_tie").count().where("count > 1").limit(1).count())
     if repeated:
         rows = rows.groupBy("doc_id", "_tie").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    rows = followed(rows.withColumn("fp", chosen(F.col("text"), k, w)), ["text", "fp"])
+    rows = rows.withColumn("packed", once(chosen(F.col("text"), k, w), lambda fp: packed(fp, F.length("text"))))
+    rows = followed(rows, ["text", "packed"])
     if repeated:  # all copies but the last are followed by a copy
-        copies = rows.where("copies > 1").withColumns({"next_text": F.col("text"), "next_fp": F.col("fp")})
+        copies = rows.where("copies > 1").withColumns({"next_text": F.col("text"), "next_packed": F.col("packed")})
         rows = rows.unionByName(copies.withColumn("copies", F.explode(F.sequence(F.lit(2).cast("long"), F.col("copies")))))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring("next_text", F.lit(1), half))
+    rows = rows.withColumn("fp", unpacked(F.col("packed"))).withColumn("next_fp", unpacked(F.col("next_packed")))
     rows = rows.withColumn("edited", edited).withColumn("own", hashes_of(F.col("fp")))
     rows = rows.withColumn("efp", chosen_after_edit(F.col("fp"), F.col("edited"), n - half, k, w))
     return rows.select(

@@ -286,15 +286,14 @@ def rolled(text, k):
     hashes = lambda part: [chain([c]) for c in part]
     short = lambda i: chain(hashes(text[i : i + m]))
     places = [*range(0, k - m, m), k - m]
-    return [chain([short(i + p) for p in places if i + p < n]) & ((1 << 33) - 1) for i in range(max(1, n - k + 1))] if n else []
+    return [chain([short(i + p) for p in places if i + p < n]) & ((1 << 32) - 1) for i in range(max(1, n - k + 1))] if n else []
 
 
 def winnowed(text, k=winnow.K, w=winnow.W):
     """(hash, position) of the smallest hash of each window, the rightmost on ties, by brute force."""
     hashes, found = rolled(text, k), []
-    signed = [h - (1 << 33) if h >> 32 else h for h in hashes]
     for a in range(max(1, len(hashes) - w + 1) if hashes else 0):
-        window = signed[a : a + w]
+        window = hashes[a : a + w]
         at = a + max(i for i, h in enumerate(window) if h == min(window))
         if not found or found[-1][1] != at:
             found.append((hashes[at], at))
@@ -315,6 +314,8 @@ def test_winnowing_against_brute_force(spark, docs, monkeypatch):
         monkeypatch.setattr(winnow, "STRETCH", stretch)
         got = {r["doc_id"]: [(x["hash"], x["position"]) for x in r["fingerprint"]] for r in winnow.fingerprints(table).collect()}
         assert got == want
+        back = table.select(winnow.chosen(F.col("text")).alias("f"), winnow.unpacked(winnow.packed(winnow.chosen(F.col("text")), F.length("text"))).alias("g")).where("f IS NOT NULL").collect()
+        assert all(r["f"] == r["g"] for r in back)
     odd = {r["doc_id"]: [(x["hash"], x["position"]) for x in r["fingerprint"]] for r in winnow.fingerprints(table.where("doc_id < 40"), 7, 5).collect()}
     assert odd == {i: winnowed(t or "", 7, 5) for i, t in enumerate(texts[:40])}
 
