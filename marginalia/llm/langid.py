@@ -119,7 +119,8 @@ def identify(
     letter, its best language is not `und`, and its posterior is at least 0.5. Null or letterless
     texts are `und` and not kept. A null or unknown declaration, host or suffix is a value of its
     own. Ties go to the language with more rows. Each row is judged by itself, repeated or not; with
-    no labelled rows all are `und`. An empty table gives an empty result.
+    no labelled rows all are `und`. Long texts are read whole. An empty table gives an empty result;
+    columns of docs may have any names.
     """
     spark, carried = common.session_of(docs), carried or ["doc_id"]
     bounds = languages(docs, declared, sample_rows)

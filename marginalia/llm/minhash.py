@@ -292,7 +292,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = 48, least
     component_id is the smallest doc_id that links lead to. Null, empty and blank texts have no
     shingles and no links. Rows with the same doc_id are one document if they are linked, and share
     a component in any case; a null doc_id has no links, a null component_id and is kept. An empty
-    table gives an empty result; other columns are not carried. Two texts at the bound agree in
+    table gives an empty result; other columns are not carried, whatever their names. A long text is
+    hashed whole, with memory in proportion to it. Two texts at the bound agree in
     fewer than `least` of `size` coordinates with probability below 1e-4.
     """
     rows = common.table(signed(docs, size), "signatures")

@@ -116,7 +116,9 @@ def judge(pages: DataFrame, labels: DataFrame, *, most_sets: int = 1_000_000, **
     labels: doc_id (a page_id), quality and toxic; a row is bad if it is toxic or of quality 0, nulls
     count as good. A url that no listed rule fits gets `block` if a mined rule fires, else `allow`.
     Null urls have an empty host and path and are allowed. Repeated rows are judged each; several
-    labels of a page count as so many rows; other columns are not carried.
+    labels of a page count as so many rows; null page_ids have no labels. Of a long url all tokens
+    count. Of rules that fire the most confident counts. An empty table gives an empty result; other
+    columns are not carried, whatever their names.
     """
     url = F.col("url")
     host, path = host_of(url), path_of(url)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import io
+import itertools
 import math
 import re
 import zlib
@@ -101,10 +102,10 @@ def test_lines_when_nothing_is_broadcast(spark, docs, monkeypatch):
 
 
 def test_very_many_recurring_lines_in_a_text(spark):
-    text = "\n".join(f"recurring line number {w} of this long list of lines" for w in ("a" * (1 + i % 7) + chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26) for i in range(120_000)))
+    text = "\n".join(f"recurring line number {w} of this long list of lines" for w in ("a" * (1 + i % 7) + chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676 % 26) for i in range(40_000)))
     table = spark.createDataFrame([(1, text), (2, text + "\nown")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_dropped"], r["text"] if r["doc_id"] == 2 else None) for r in line_dedup.dedup_lines(table).collect()}
-    assert got == {1: (0, None), 2: (120_000, "own")}
+    assert got == {1: (0, None), 2: (40_000, "own")}
 
 
 # 2: near-duplicates
@@ -152,6 +153,11 @@ def test_near_duplicates_of_a_family(spark):
     assert got == classes(rows)
 
 
+def test_near_duplicates_when_nothing_is_broadcast(docs):
+    plain = sorted(tuple(r) for r in minhash.near_duplicates(docs).collect())
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs, most_broadcast=-1, block=4).collect()) == plain
+
+
 def test_near_duplicates_edge_cases(edge, empty):
     got = [r for r in minhash.near_duplicates(edge).collect()]
     assert len(got) == len(EDGE)
@@ -175,6 +181,16 @@ def test_differencing_is_tight():
     assert sharding.differencing([], 3) == [] and sharding.differencing([5, 4], 1) == [0, 0]
 
 
+def test_differencing_against_all_partitions():
+    """On few units the spread is within that of the best of all partitions, or a tenth of a part more."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        sizes = rng.integers(1, 60, 8).tolist()
+        best = min(max(s) - min(s) for s in ([sum(x for x, p in zip(sizes, parts, strict=True) if p == k) for k in range(3)] for parts in itertools.product(range(3), repeat=8)))
+        sums = np.bincount(sharding.differencing(sizes, 3), sizes, 3)
+        assert best <= sums.max() - sums.min() <= best + 0.1 * sum(sizes)
+
+
 def test_shards(docs, edge, empty):
     rows = sharding.shard_by_bytes(docs, 7).collect()
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -500,6 +516,36 @@ def test_mined_rule_of_four_tokens(spark):
     assert got == {i: "block" if i < 40 or i == len(urls) else "allow" for i in range(len(urls) + 1)}
 
 
+def test_mining_against_all_combinations(spark):
+    """Every combination of tokens counted one by one: support, confidence, lift, then the pruning of longer rules."""
+    rng = np.random.default_rng(9)
+    words = ["win", "play", "cash", "now", "read", "news"]
+    rows = [sorted(rng.choice(words, rng.integers(1, 5), replace=False).tolist()) for _ in range(300)]
+    bad = [bool({"win", "cash"} <= set(t) and rng.random() < 0.9 or rng.random() < 0.1) for t in rows]
+    want, share = {}, sum(bad) / len(bad)
+    for size in range(1, 6):
+        for tokens in itertools.combinations(words, size):
+            holds = [b for t, b in zip(rows, bad, strict=True) if set(tokens) <= set(t)]
+            if sum(holds) >= 8 and sum(holds) / len(holds) >= 0.6 and sum(holds) / len(holds) / share >= 1.5:
+                want[tuple(sorted(tokens))] = sum(holds) / len(holds)
+    want = {t: c for t, c in want.items() if not any(set(u) < set(t) and d >= c for u, d in want.items())}
+    tokens = spark.createDataFrame(list(enumerate(rows)), "page_id long, tokens array<string>")
+    labels = spark.createDataFrame(list(enumerate(bad)), "doc_id long, bad boolean")
+    got = {tuple(r["antecedent"]): r["confidence"] for r in url_rules.mine(tokens, labels).collect()}
+    assert want and set(got) == set(want) and all(abs(got[t] - c) < 1e-9 for t, c in want.items())
+    # the index finds exactly the rows that have all tokens of a rule, broadcast or not
+    sets = tokens.select(F.col("page_id").alias("_set"), "tokens")
+    for most in (20_000, -1):
+        hits = {r["_set"]: r["confidence"] for r in url_rules.fired(sets, url_rules.mine(tokens, labels), most_rules=most).collect()}
+        assert hits == {i: max(c for u, c in want.items() if set(u) <= set(t)) for i, t in enumerate(rows) if any(set(u) <= set(t) for u in want)}
+
+
+def test_long_urls(spark):
+    long = "http://a.example.com/" + "/".join(f"part{i}" for i in range(20_000))
+    got = url_rules.judge(spark.createDataFrame([(1, long), (1, long), (None, None)], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int"), most_sets=-1).collect()
+    assert sorted((str(r["page_id"]), len(r["path"]), r["verdict"]) for r in got) == [("1", len(long) - 20, "allow"), ("1", len(long) - 20, "allow"), ("None", 0, "allow")]
+
+
 # 9: language
 
 
@@ -533,6 +579,11 @@ def test_rare_languages_are_trained(spark):
     assert [(r["doc_id"], r["detected"]) for r in got if r["detected"] != f"l{r['doc_id'] - 10_000:02}" or not r["kept"]] == []
 
 
+def test_language_without_a_broadcast(spark, docs):
+    plain = sorted(tuple(r) for r in langid.identify(docs).collect())
+    assert sorted(tuple(r) for r in langid.identify(docs, most_hosts=-1).collect()) == plain
+
+
 def test_page_evidence(spark):
     html = "<!DOCTYPE html><HTML class='a' lang='de-AT'><style>p{}</style><script>var t='</p>';</script><body><!-- no --><p>Gr&uuml;&szlig;e <b>an</b> alle</p>"
     rows = [(1, "https://me@News.Example.AT:80/a?b", html), (2, None, None), (3, "no address", "plain")]
