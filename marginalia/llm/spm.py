@@ -68,7 +68,7 @@ class Vocabulary:
 
 
 class StreamingViterbi:
-    """Feeds on text and yields lists of ids that can no longer change."""
+    """Feeds on text and gives lists of ids that can no longer change; between feeds only what lies behind the last committed boundary is held."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -77,18 +77,31 @@ class StreamingViterbi:
         self.back: list[int] = [0]
         self.at = 0  # next position to expand
         self.reach = 0  # how far pieces go that begin before it
-        self.walk = 4 * vocabulary.longest
 
-    def _expand(self, last: bool) -> Iterator[list[int]]:
-        text, score_of, worst, best, back = self.text, self.v.trie.get, self.v.worst, self.best, self.back
+    def _path(self, text: str, back: list[int], start: int, end: int) -> list[int]:
+        """Ids of the best path between two boundaries that all paths run through."""
+        found, ids = self.v.ids, []
+        while end > start:
+            piece = text[back[end] : end]
+            own = found.get(piece)
+            if own is not None:
+                ids.append(own)
+            else:
+                ids += self.v.fallback(piece)[::-1]
+            end = back[end]
+        ids.reverse()
+        return ids
+
+    def _run(self, more: str, last: bool) -> list[int]:
+        text, score_of, worst, longest = self.text + more, self.v.trie.get, self.v.worst, self.v.longest
         end = len(text)
-        stop = end if last else end - self.v.longest + 1  # a piece might go on beyond what has been fed
-        i, reach = self.at, self.reach
+        best, back = self.best + [None] * (end + 1 - len(self.best)), self.back + [0] * (end + 1 - len(self.back))
+        stop = end if last else end - longest + 1  # a piece might go on beyond what has been fed
+        i, reach, start, ids, walk = self.at, self.reach, 0, [], self.at + 4 * longest
         while i < stop:
-            if i and reach <= i:
-                self.at, self.reach = i, reach
-                yield self._commit(i)
-                text, best, back, end, stop, i, reach = self.text, self.best, self.back, len(self.text), stop - i, 0, self.reach
+            if reach == i and i > start:  # every path runs through here
+                ids += self._path(text, back, start, i)
+                start, walk = i, i + 4 * longest
             here = best[i]
             if here is not None:
                 j = i + 1
@@ -104,53 +117,42 @@ class StreamingViterbi:
                     if j > end:
                         break
                     score = score_of(text[i:j], 0)
-                reach = max(reach, i + 1, j - 1)
+                if j - 1 > reach:
+                    reach = j - 1
+                if reach <= i:
+                    reach = i + 1
             i += 1
-            if i >= self.walk:
-                self.at, self.reach = i, reach
+            if i >= walk:
                 # do all surviving paths (ends within the reach of a piece) share a boundary?
-                ends = {k for k in range(i, min(i + self.v.longest, end) + 1) if best[k] is not None}
-                while len(ends) > 1 and max(ends) > 0:
+                ends = {k for k in range(i, min(i + longest, end) + 1) if best[k] is not None}
+                while len(ends) > 1 and max(ends) > start:
                     top = max(ends)
                     ends.discard(top)
                     ends.add(back[top])
-                met = ends.pop() if ends else 0
-                if met:
-                    yield self._commit(met)
-                    text, best, back, end, stop, i, reach = self.text, self.best, self.back, len(self.text), stop - met, i - met, self.reach
-                self.walk = self.at + 4 * self.v.longest
-        self.at, self.reach = i, reach
-
-    def _commit(self, boundary: int) -> list[int]:
-        ids = self._path(boundary)
-        base = self.best[boundary]
-        self.text, self.back = self.text[boundary:], [b - boundary for b in self.back[boundary:]]
-        self.best = [None if s is None else s - base for s in self.best[boundary:]]
-        self.at, self.reach, self.walk = self.at - boundary, max(self.reach - boundary, 0), 4 * self.v.longest + max(self.at - boundary, 0)
-        return ids
-
-    def _path(self, end: int) -> list[int]:
-        cuts = [end]
-        while cuts[-1]:
-            cuts.append(self.back[cuts[-1]])
-        cuts.reverse()
-        ids = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            piece = self.text[a:b]
-            ids += [self.v.ids[piece]] if piece in self.v.ids else self.v.fallback(piece)
+                met = ends.pop() if ends else start
+                if met > start:
+                    ids += self._path(text, back, start, met)
+                    start = met
+                walk = i + 4 * longest
+        if last:
+            return ids + self._path(text, back, start, end)
+        base = best[start]
+        self.text, self.back = text[start:], [b - start for b in back[start:]]
+        self.best = [None if s is None else s - base for s in best[start:]]
+        self.at, self.reach = i - start, max(reach - start, 0)
         return ids
 
     def feed(self, text: str) -> Iterator[list[int]]:
-        self.text += text
-        self.best += [None] * len(text)
-        self.back += [0] * len(text)
-        if len(self.text) - self.at >= self.v.longest:
-            yield from self._expand(False)
+        if ids := self._run(text, False):
+            yield ids
 
     def finish(self) -> Iterator[list[int]]:
-        yield from self._expand(True)
-        if self.text:
-            yield self._commit(len(self.text))
+        if self.text and (ids := self._run("", True)):
+            yield ids
+
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text that is fed at once and ends."""
+        return self._run(text, True)
 
 
 class Codec:
@@ -166,6 +168,8 @@ class Codec:
     def search(self, text: str) -> bytes:
         """Ids of a text in which spaces are marked already, from the stream, fed in parts."""
         stream, ids = StreamingViterbi(self.v), array("I")
+        if len(text) <= self.LONG:
+            return array("I", stream.whole(text)).tobytes()
         for k in range(0, len(text), self.LONG):
             for part in stream.feed(text[k : k + self.LONG]):
                 ids.extend(part)
