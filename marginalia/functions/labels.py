@@ -17,6 +17,28 @@ def bare_label(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(?U)\s+", ""), r"^\p{L}+", ""), ",", ".")
 
 
+def caption_number(raw: Column) -> Column:
+    """A label's number without any words or letters before it, with their dots and dashes; null without one."""
+    t = F.regexp_replace(F.regexp_replace(F.translate(raw, " ", " "), r"^\s*(\p{L}+[\s.\-]*)+", ""), r"\s+", "")
+    return F.nullif(F.replace(t, F.lit(","), F.lit(".")), F.lit(""))
+
+
+def plain_label(raw: Column) -> Column:
+    """The label as it is, without spaces, a comma as a dot; null as empty."""
+    return F.replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", ""), F.lit(","), F.lit("."))
+
+
+def closed_label(raw: Column) -> Column:
+    """plain_label without closing dots and brackets."""
+    return F.regexp_replace(plain_label(raw), r"[.)]+$", "")
+
+
+def title_in(text: Column, words: str) -> Column:
+    """struct(number, title) of the first caption of such words anywhere in a text; nulls without one."""
+    pattern = rf"(?iU)(?:^|[^\p{{L}}])(?:{words})\s*(?:№\s*)?(\p{{L}}?\s*\d++(?:[.,]\d++)*+)\s*[-—–:.]\s*([^\n]+)"
+    return F.struct(F.nullif(bare_label(F.regexp_extract(text, pattern, 1)), F.lit("")).alias("number"), F.nullif(F.trim(F.regexp_extract(text, pattern, 2)), F.lit("")).alias("title"))
+
+
 def kept_label(raw: Column) -> Column:
     """The label with its letter, upper-case, without spaces and closing marks."""
     return F.upper(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?U)\s+", ""), ",", "."), r"[.)]+$", ""))
@@ -102,15 +124,52 @@ def language_guess(text: Column) -> Column:
     return F.when(text.rlike("[A-Za-z]{3}") & ~text.rlike("[А-Яа-яЁё]{3}"), "en").otherwise("ru")
 
 
+TABLE_FORMS, FIGURE_FORMS = r"таблиц\w*|табл\.?|table", r"рисун\w*|рис\.?|figure|fig\.?"
+CHAPTER_FORMS = r"глав\w*|раздел\w*|chapters?|sections?"
+
+
+def _dotted(numbers: Column) -> Column:
+    return F.array_distinct(F.transform(numbers, lambda x: F.replace(x, F.lit(","), F.lit("."))))
+
+
 def table_numbers(text: Column) -> Column:
     """Numbers after a table word, normalised, each once, in order of appearance."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?iU)(?:таблиц\w*|табл\.?|table)\s*(?:№\s*)?(\d+(?:[.,]\d+)*)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("."))))
+    return _dotted(F.regexp_extract_all(F.lower(text), F.lit(rf"(?iU)(?:{TABLE_FORMS})\s*(?:№\s*)?(\d+(?:[.,]\d+)*)"), F.lit(1)))
 
 
 def figure_numbers(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?iU)(?:рисун\w*|рис\.?|figure|fig\.?)\s*(?:№\s*)?(\d+(?:[.,]\d+)*)"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("."))))
+    return _dotted(F.regexp_extract_all(F.lower(text), F.lit(rf"(?iU)(?:{FIGURE_FORMS})\s*(?:№\s*)?(\d+(?:[.,]\d+)*)"), F.lit(1)))
+
+
+def numbers_of(text: Column, forms: str) -> Column:
+    """Numbers of such words in either order ('таблица 2.1' first, then '2.1 таблица', also 'во 2-й таблице'), each once."""
+    t = F.lower(text)
+    after = F.regexp_extract_all(t, F.lit(rf"(?iU)(?:{forms})\s*(?:№\s*)?(\d+(?:[.,]\d+)*)"), F.lit(1))
+    before = F.regexp_extract_all(t, F.lit(rf"(?iU)(?<![\d.,])(\d+(?:[.,]\d+)*)(?:\s*-?\s*(?:й|я|е|ю|ой|ую|ом))?\s+(?:{forms})"), F.lit(1))
+    return _dotted(F.concat(after, before))
+
+
+def listed_numbers(text: Column, forms: str) -> Column:
+    """Numbers after such a word, with all that an enumeration goes on with: 'таблицы 1.1, 1.2 и 1.3'."""
+    number = r"\d+(?:\.\d+)*"
+    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"(?iU)(?:{forms})\s*(?:№\s*)?({number}(?:\s*(?:,|;|и|and)\s*{number})*)"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(number), F.lit(0)))))
+
+
+def bare_numbers(text: Column, forms: str, width: int = 40) -> Column:
+    """Numbers with a dot that stand at most `width` characters behind such a word, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?iU)(?<=(?:{forms.replace("w*", "w{0,6}")})[^\n]{{1,{width}}})(?<![\d.])(\d+\.\d+)(?![\d.])"), F.lit(1)))
+
+
+def object_references(text: Column) -> Column:
+    """array of struct(kind, number) of the tables, figures and chapters that a text names, enumerations included."""
+    of = lambda kind, forms: F.transform(listed_numbers(text, forms), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("number")))
+    return F.concat(of("table", TABLE_FORMS), of("figure", FIGURE_FORMS), of("chapter", CHAPTER_FORMS))
+
+
+def is_comparison(text: Column) -> Column:
+    """Two objects or more, and a word for comparing."""
+    return (F.size(object_references(text)) >= 2) & F.lower(text).rlike("сравн|сопостав|что общего|чем отличаются|общие и отличия|сходств|различи|динамик|тенденци|compare")
 
 
 def version_key(number: Column) -> Column:

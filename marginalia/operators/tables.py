@@ -58,3 +58,11 @@ def recognised(rows: DataFrame, keys: list[str]) -> DataFrame:
     numeric = F.size(F.filter("cells", lambda c: numbers.cell_number(c).isNotNull()))
     shares = rows.groupBy(*keys).agg(F.round(F.sum(filled) / F.sum(F.size("cells")), 4).alias("filled"), F.round(F.sum(numeric) / F.sum(F.size("cells")), 4).alias("numeric"))
     return shares.withColumn("quality", quality(F.col("filled"), F.col("numeric")))
+
+
+def recognised_csv(text: Column) -> Column:
+    """Lines of recognised text as CSV: cells at bars or at two spaces, all rows padded to the widest."""
+    rows = F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.transform(F.split(F.trim(x), r"\s*\|\s*|\s{2,}"), lambda c: F.trim(c)))
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    padded = lambda w: F.transform(rows, lambda r: csv_line(F.concat(r, F.array_repeat(F.lit(""), w - F.size(r)))))
+    return F.array_join(F.element_at(F.transform(F.array(width), padded), 1), "\n")

@@ -130,14 +130,6 @@ def denominator_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "n", checks.denominator(given, F.col("n")).alias("c")).where("c IS NOT NULL").select("source", "n", "c.k", "c.expected", "c.ok")
 
 
-LINES = "SELECT * FROM (VALUES (1, 'Да 60%, нет 40%'), (2, 'A 70 %, B 50 %'), (3, 'рост на 15%'), (4, '25%; 25%; 30%'), (5, 'всего 101,5%'), (6, 'нет процентов'), (7, '33,3% и 33,3% и 33,4%'), (8, '90% и 5%')) AS t(id, line)"
-
-
-@query("SELECT * FROM (VALUES (1, 2, 100.0, 'ok'), (2, 2, 120.0, 'bad'), (3, 1, 15.0, 'single'), (4, 3, 80.0, 'off'), (5, 1, 101.5, 'bad'), (6, 0, 0.0, 'skip'), (7, 3, 100.0, 'ok'), (8, 2, 95.0, 'off')) AS t(id, n, sum, verdict)")
-def percent_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINES).select("id", checks.percent_sanity(F.col("line")).alias("s")).select("id", "s.n", "s.sum", "s.verdict")
-
-
 @query("""WITH p AS (SELECT p_partkey AS id, p_size AS a, p_partkey % 50 + 1 AS b, p_partkey % 4 AS o FROM part),
 v AS (SELECT *, CASE o WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * b ELSE a / b END AS value FROM p WHERE NOT (o = 1 AND a < b))
 SELECT id, ['+', '-', '*', '/'][o + 1] AS op, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, round(value + CASE WHEN id % 10 = 0 THEN 5 ELSE 0 END, 3) AS c, abs(value - round(value + CASE WHEN id % 10 = 0 THEN 5 ELSE 0 END, 3)) <= greatest(1e-6, 2e-3 * greatest(1, abs(value), abs(round(value + CASE WHEN id % 10 = 0 THEN 5 ELSE 0 END, 3)))) AS ok FROM v""")
@@ -167,16 +159,6 @@ def revenue_cost_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round(expected, 4).alias("expected"), F.round("profit", 4).alias("given"), numbers.close(expected, F.col("profit"), 2e-3, 1e-6).alias("ok"))
 
 
-@query("""WITH g AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT source, sum(n) AS total, count(*) AS parts FROM g GROUP BY source)
-SELECT source, parts, CAST(total AS BIGINT) AS total, CAST(total + CASE WHEN total % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS given, total % 3 <> 0 AS ok FROM t WHERE parts >= 2""")
-def subgroup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of subgroups (two or more) against the stated total of their group."""
-    g = read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    t = g.groupBy("source").agg(F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts >= 2")
-    given = F.col("total") + F.when(F.col("total") % 3 == 0, 2).otherwise(0)
-    return t.select("source", "parts", "total", given.alias("given"), (F.col("total") == given).alias("ok"))
-
-
 @query("""WITH r AS (SELECT n_regionkey AS table_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k, n_name, n_nationkey FROM nation),
 l AS (SELECT r_regionkey AS table_id, 0 AS k, '| name | key |' AS md, 'name,key' AS csv FROM region UNION ALL SELECT table_id, k, '| ' || n_name || ' | ' || n_nationkey || ' |', n_name || ',' || n_nationkey FROM r)
 SELECT table_id, string_agg(md, chr(10) ORDER BY k) AS md, string_agg(csv, chr(10) ORDER BY k) AS csv FROM l GROUP BY table_id""")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from marginalia.functions import labels, texts
+from marginalia.functions import texts
 from marginalia.plans.registry import query, read
 from marginalia.sources import chunks
-from marginalia.plans.understanding_queries import _cases
 
 
 @query(f"""WITH {chunks.SQL}, c AS (SELECT doc_id, id, text FROM chunks WHERE element_type IN ('text', 'table_row') AND regexp_matches(text, '[0-9]') AND NOT regexp_matches(text, '(^|[^0-9])(19|20)[0-9]{{2}}([^0-9]|$)') OR contains(text, '%'))
@@ -20,21 +19,6 @@ def calc_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(fits).select("doc_id", "id", F.row_number().over(Window.partitionBy("doc_id").orderBy("id")).alias("place")).where("place <= 140")
 
 
-SAMPLES = [(1, "N=40, 20 матерей и 20 отцов", 40, 40), (2, "Выборка составила 125 человек", 125, None), (3, "12 юношей и 18 девушек", 30, 30), (4, "нет", None, None)]
-
-
-@query(f"SELECT id, n, groups FROM {_cases(SAMPLES)} AS t(id, text, n, groups)")
-def sample_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size of a sample: stated as N, else after the word, else the sum of its groups."""
-    text = F.col("text")
-    first = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit("")).cast("int")
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?iU)(\d{1,4})\s+(?:матер|отц|юнош|девуш|мужчин|женщин|мальчик|студент)\w*"), F.lit(1)), lambda x: x.cast("int"))
-    groups = F.when(F.size(found) >= 2, F.aggregate(found, F.lit(0), lambda a, x: a + x))
-    n = F.coalesce(first(r"(?iU)\bN\s*=\s*(\d{1,5})"), first(r"(?iU)выборк\w*\D{0,40}?(\d{1,5})"), groups)
-    rows = spark.createDataFrame([r[:2] for r in SAMPLES], "id int, text string")
-    return rows.select("id", F.when(n.between(2, 5000), n).alias("n"), groups.alias("groups"))
-
-
 @query()
 def cut_for_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut at paragraphs, lines, sentences or words into pieces of 3500 characters. Not in SQL: each cut depends on the one before."""
@@ -51,14 +35,6 @@ def fuzzy_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("typed").orderBy(F.desc("ratio"), "p_name"))).where("place <= 3")
 
 
-NAMES = [("отчёт № 5.docx", "отчёт_No_5.docx"), ("  a/b:c  ", "a_b_c"), ("...", "file"), ("ﬁle", "file")]
-
-
-@query(f"SELECT name, safe FROM {_cases(NAMES)} AS t(name, safe)")
-def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:1] for r in NAMES], "name string").select("name", texts.file_name(F.col("name")).alias("safe"))
-
-
 @query("""WITH RECURSIVE l AS (SELECT source, list(length(text) ORDER BY doc_id) AS ls FROM documents GROUP BY source),
 f AS (SELECT source, ls, least(len(ls), 500) AS n, 0 AS k FROM l UNION ALL SELECT source, ls, CASE WHEN n > 1 AND list_sum(ls[1:n]) > 20000 THEN greatest(1, n - greatest(5, n // 10)) ELSE n END, k + 1 FROM f WHERE k < 80)
 SELECT source, CAST(n AS INT) AS shown, len(ls) AS total_rows, n < len(ls) AS truncated FROM f WHERE k = 80""")
@@ -69,42 +45,6 @@ def rows_and_chars_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", shown.alias("shown"), F.size("ls").alias("total_rows")).withColumn("truncated", F.col("shown") < F.col("total_rows"))
 
 
-ENCODED = [
-    (1, '{"chart_data":[{"label":"A","value":1.5,"unit":"%"},{"label":"B","value":2,"unit":"%","series_name":"s"}]}'),
-    (2, '{"chart_data":{"categories":["x","y"],"series":[{"name":"n","values":[3,4],"unit":"u"},{"name":"m","values":[9,9]}]}}'),
-    (3, '{"chart_matrix":{"categories":["q"],"series":[{"name":"k","values":[7]}],"unit":"шт"}}'),
-    (4, "{broken"),
-    (5, None),
-]
-
-
-@query("SELECT * FROM (VALUES (1, 'A', 1.5::DOUBLE, '%'), (1, 's: B', 2.0, '%'), (2, 'x', 3.0, 'u'), (2, 'y', 4.0, 'u'), (3, 'q', 7.0, 'шт')) AS t(id, label, value, unit)")
-def chart_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of charts from each way they are kept: lists of points, categories with series (the first), matrices. Broken ones give none."""
-    row = "array<struct<label:string,value:double,unit:string,series_name:string>>"
-    grid = "struct<categories:array<string>,series:array<struct<name:string,values:array<double>,unit:string>>,unit:string>"
-    data = F.from_json("attrs", f"struct<chart_data:{row}>")["chart_data"]
-    as_grid = F.coalesce(F.from_json("attrs", f"struct<chart_data:{grid}>")["chart_data"], F.from_json("attrs", f"struct<chart_matrix:{grid}>")["chart_matrix"])
-    rows = spark.createDataFrame(ENCODED, "id int, attrs string").select("id", data.alias("d"), as_grid.alias("g"))
-    points = F.transform("d", lambda x: F.struct(F.when(x["series_name"].isNotNull(), F.concat_ws(": ", x["series_name"], x["label"])).otherwise(x["label"]).alias("label"), x["value"].alias("value"), x["unit"].alias("unit")))
-    first = F.get(F.col("g.series"), 0)
-    cells = F.transform(F.arrays_zip(F.col("g.categories").alias("c"), first["values"].alias("v")), lambda x: F.struct(x["c"].alias("label"), x["v"].alias("value"), F.coalesce(first["unit"], F.col("g.unit")).alias("unit")))
-    good = F.filter(points, lambda x: x["label"].isNotNull())
-    both = F.when(F.size(good) > 0, good).otherwise(cells)
-    return rows.select("id", F.explode(both).alias("p")).select("id", "p.label", "p.value", "p.unit")
-
-
-INTENTS = [(1, "Приведи все значения таблицы 2.1 дословно", True, False, False, True, True), (2, "Сколько рисунков и источников?", False, True, True, False, False), (3, "О чём работа?", False, False, False, False, False)]
-
-
-@query(f"SELECT id, tables = 'True' AS tables, figures = 'True' AS figures, sources = 'True' AS sources, must_quote = 'True' AS must_quote, all_values = 'True' AS all_values FROM {_cases([(r[0], r[1], *map(str, r[2:])) for r in INTENTS])} AS t(id, q, tables, figures, sources, must_quote, all_values)")
-def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of what a question asks for."""
-    q = F.lower("q")
-    rows = spark.createDataFrame([r[:2] for r in INTENTS], "id int, q string")
-    return rows.select("id", q.rlike("(?iU)таблиц|table").alias("tables"), q.rlike("(?iU)рисун|диаграмм|график|figure").alias("figures"), q.rlike("(?iU)источник|литератур|библиограф|source").alias("sources"), q.rlike("(?iU)дословно|точн\\w+ цитат|verbatim|quote").alias("must_quote"), q.rlike("(?iU)все значени|всех значени|полностью|all values").alias("all_values"))
-
-
 @query("""WITH s AS (SELECT doc_id, CASE WHEN contains(text, 'Licen') THEN text END AS a, CASE WHEN length(text) >= 260 THEN left(text, 600) END AS b, left(text, 100) AS c FROM documents)
 SELECT doc_id, CASE WHEN length(a) >= 260 THEN 'coverage' WHEN b IS NOT NULL THEN 'best' ELSE 'vector' END AS stage, length(CASE WHEN length(a) >= 260 THEN a WHEN b IS NOT NULL THEN b ELSE c END) AS chars FROM s""")
 def context_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +53,3 @@ def context_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, c = F.when(text.contains("Licen") & (F.length(text) >= 260), text), F.when(F.length(text) >= 260, F.substring(text, 1, 600)), F.substring(text, 1, 100)
     stage = F.when(a.isNotNull(), "coverage").when(b.isNotNull(), "best").otherwise("vector")
     return read(spark, sf_dir, "documents").select("doc_id", stage.alias("stage"), F.length(F.coalesce(a, b, c)).alias("chars"))
-
-
-TYPES = [("table", "x", "y", "table"), (None, "Список литературы / 1", "y", "reference"), ("", "p", "[Таблица] a", "table"), (None, "p", "[Рисунок 2] a", "figure"), (None, "p", "plain", "text")]
-
-
-@query(f"SELECT path, text, kind FROM {_cases(TYPES)} AS t(et, path, text, kind)")
-def chunk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:3] for r in TYPES], "et string, path string, text string")
-    return rows.select("path", "text", labels.chunk_type(F.col("et"), F.col("path"), F.col("text")).alias("kind"))

@@ -8,16 +8,6 @@ from marginalia.functions import labels, numbers
 from marginalia.plans.registry import query, read
 from marginalia.sources import chunks
 
-NUMBER_CASES = "SELECT * FROM (VALUES (1, '1 234,56', 1234.56, ''), (2, '12%', 0.12, '%'), (3, '(500)', -500.0, ''), (4, '5 тыс.', 5000.0, ''), (5, '3,5 млн руб.', 3500000.0, ''), (6, '7 ‰', 7.0, 'permille'), (7, 'нет', NULL, ''), (8, '-2.5', -2.5, ''), (9, '4 п.п.', 4.0, 'pp'), (10, '$1 000', 1000.0, ''), (11, '1.25', 1.25, ''), (12, '2 млрд', 2000000000.0, '')) AS t(id, raw, value, unit)"
-
-
-@query(f"SELECT id, raw, CAST(value AS DOUBLE) AS value, unit, unit <> '' AS had_unit FROM ({NUMBER_CASES})")
-def numbers_with_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table parser on cases with known values."""
-    rows = spark.sql(NUMBER_CASES).select("id", "raw", numbers.with_unit(F.col("raw")).alias("n"))
-    return rows.select("id", "raw", F.round("n.value", 6).alias("value"), "n.unit", "n.had_unit")
-
-
 @query("""SELECT l_orderkey, l_linenumber, round(l_discount, 6) AS discount, round(l_extendedprice, 2) AS price FROM lineitem""")
 def numbers_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values written as percent and as grouped decimals, read back by the parsers."""
@@ -45,14 +35,6 @@ def adaptive_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", kind.alias("kind"), ok.alias("ok"))
 
 
-HEADERS = "SELECT * FROM (VALUES ('Темп роста, %', 'percent', 1.0), ('Количество, шт', 'count', 1.0), ('Выручка, тыс. руб.', 'money', 1000.0), ('Коэффициент', 'ratio', 1.0), ('Прочее', 'unknown', 1.0), ('Доход, млрд', 'money', 1000000000.0), ('Себестоимость, млн', 'money', 1000000.0)) AS t(header, kind, scale)"
-
-
-@query(f"SELECT header, kind, CAST(scale AS DOUBLE) AS scale FROM ({HEADERS})")
-def header_kind_and_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HEADERS).select("header", numbers.kind_of(F.col("header")).alias("kind"), numbers.scale_of(F.col("header")).alias("scale"))
-
-
 @query("""WITH o AS (SELECT unnest(['add', 'sub', 'rsub', 'mul', 'div', 'rdiv', 'pct', 'rpct', 'pctchg', 'rpctchg']) AS op)
 SELECT op, p_partkey, round(CASE op WHEN 'add' THEN a + b WHEN 'sub' THEN a - b WHEN 'rsub' THEN b - a WHEN 'mul' THEN a * b WHEN 'div' THEN a / nullif(b, 0) WHEN 'rdiv' THEN b / nullif(a, 0) WHEN 'pct' THEN a / nullif(b, 0) * 100 WHEN 'rpct' THEN b / nullif(a, 0) * 100 WHEN 'pctchg' THEN a / nullif(b, 0) * 100 - 100 ELSE b / nullif(a, 0) * 100 - 100 END, 4) AS value
 FROM o, (SELECT p_partkey, p_retailprice AS a, CAST(p_size % 10 AS DOUBLE) AS b FROM part WHERE p_partkey % 1 = 0)""".replace(" WHERE p_partkey % 1 = 0", ""))
@@ -63,23 +45,6 @@ def op_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("op", "p_partkey", F.round(numbers.predicted(F.col("op"), F.col("a"), F.col("b")), 4).alias("value"))
 
 
-LABELS = "SELECT * FROM (VALUES (' 2 , 3 ', '2.3', '2.3'), ('A  10, 4', '10.4', 'A10.4'), ('Б 7,8', '7.8', 'Б7.8'), ('12.1)', '12.1)', '12.1'), ('а.1', '.1', 'А.1')) AS t(raw, bare, kept)"
-
-
-@query(f"SELECT raw, bare, kept FROM ({LABELS})")
-def label_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with and without their letter."""
-    return spark.sql(LABELS).select("raw", labels.bare_label(F.col("raw")).alias("bare"), labels.kept_label(F.col("raw")).alias("kept"))
-
-
-CAPTIONS = "SELECT * FROM (VALUES ('Рисунок 2.3 — Структура', 'figure', '2.3', 'Структура'), ('Table 1.2: Data', 'table', '1.2', 'Data'), ('Figure 5', 'figure', '5', NULL), ('Таблица А 1,2 - Итоги', 'table', '1.2', 'Итоги'), ('Рис. 7', 'figure', '7', NULL), ('см. таблицу 3', NULL, NULL, NULL), ('просто текст', NULL, NULL, NULL)) AS t(text, kind, number, tail)"
-
-
-@query(f"SELECT text, kind, number, tail FROM ({CAPTIONS})")
-def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CAPTIONS).select("text", labels.caption(F.col("text")).alias("c")).select("text", "c.kind", "c.number", "c.tail")
-
-
 NAMES = "SELECT * FROM (VALUES ('Итого выручка, тыс. руб.', 'выручка р'), ('Чистая прибыль (убыток)', 'чистая прибыль убыток'), ('2019 - 2020', '2019 2020'), ('  ', ''), ('Численность персонала на конец года, чел.', 'численность персонала конец года')) AS t(raw, name)"
 
 
@@ -122,21 +87,3 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks.line_chunks(read(spark, sf_dir, "documents"))
     return rows.select("id", labels.clean_for_context(F.concat_ws(" ", "section_path", "text")).alias("cleaned"))
-
-
-REFS = "SELECT * FROM (VALUES (1, 'Сравни таблицы 2.1 и таблицу 3, рис. 4', ['2.1', '3'], ['4']), (2, 'Table 1,2 and figure 7.3; Table 1.2', ['1.2'], ['7.3']), (3, 'нет ссылок', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])), (4, 'таблица № 10, таблица 2', ['10', '2'], CAST([] AS VARCHAR[]))) AS t(id, text, tables, figures)"
-
-
-@query(f"SELECT id, tables, list_sort(tables) AS ordered, figures FROM ({REFS}) WHERE id < 4 UNION ALL SELECT id, tables, ['2', '10'], figures FROM ({REFS}) WHERE id = 4")
-def entity_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of tables and figures in a question, in order of appearance and in order of version."""
-    rows = spark.createDataFrame([(1, "Сравни таблицы 2.1 и таблицу 3, рис. 4"), (2, "Table 1,2 and figure 7.3; Table 1.2"), (3, "нет ссылок"), (4, "таблица № 10, таблица 2")], "id int, text string")
-    tables = labels.table_numbers(F.col("text"))
-    ordered = F.transform(F.array_sort(F.transform(tables, lambda x: F.struct(labels.version_key(x).alias("k"), x.alias("x")))), lambda s: s["x"])
-    return rows.select("id", tables.alias("tables"), ordered.alias("ordered"), labels.figure_numbers(F.col("text")).alias("figures"))
-
-
-@query("""SELECT * FROM (VALUES ('12 345 и 1,25 %', '12345 и 1.25%'), ('а -- б', 'а — б'), ('5–7', '5—7'), ('1 000 000', '1000000')) AS t(raw, tidy)""")
-def tidy_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("12 345 и 1,25 %",), ("а -- б",), ("5–7",), ("1 000 000",)], "raw string")
-    return rows.select("raw", numbers.tidy(F.col("raw")).alias("tidy"))

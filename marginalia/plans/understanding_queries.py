@@ -9,99 +9,11 @@ from marginalia.operators import charts
 from marginalia.plans.registry import query, read
 
 
-def _cases(rows: list[tuple]) -> str:
-    quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else "[" + ", ".join(map(quote, x)) + "]" if isinstance(x, list) else str(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + ")"
-
-
-QUESTIONS = [
-    (1, "Сколько человек участвовало?", "calc"), (2, "Сравни таблицу 2 и рисунок 3", "mixed"), (3, "Опиши таблицу 2.1", "table"), (4, "Что на рис. 4?", "figure"), (5, "Опиши первую главу", "chapter"),
-    (6, "Какова цель главы 1?", "slots"), (7, "Опиши структуру работы", "section"), (8, "Какой шрифт нужен?", "gost"), (9, "Расскажи о компании", "semantic"), (10, "О чём глава 2", "chapter"), (11, "паспорт работы", "slots"), (12, None, "semantic"),
-]
-
-
-@query(f"SELECT id, type FROM {_cases(QUESTIONS)} AS t(id, q, type)")
-def question_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:2] for r in QUESTIONS], "id int, q string").select("id", Q.question_type(F.col("q")).alias("type"))
-
-
-WORD_NUMBERS = [("во второй главе", "во 2 главе"), ("двадцать первый пункт", "20 1 пункт"), ("третья таблица", "3 таблица"), ("пять рисунков", "5 рисунков"), ("в двенадцатой и трёх", "в 12 и 3"), ("одного", "1"), ("первенство", "первенство")]
-
-
-@query(f"SELECT * FROM {_cases(WORD_NUMBERS)} AS t(text, digits)")
-def word_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:1] for r in WORD_NUMBERS], "text string").select("text", Q.with_digits(F.col("text")).alias("digits"))
-
-
-ROLES = [
-    (1, "Введение", "Введение", "intro"), (2, "Актуальность", "Введение / Актуальность", "intro"), (3, "Глава 1 Теория", "Глава 1", "chapter_1"), (4, "Понятие", "x", "chapter_1"), (5, "2. Практика", "y", "chapter_2"),
-    (6, "Заключение", "Заключение", "conclusion"), (7, "Список литературы", "z", "references"), (8, "Приложение А", "w", "appendix"), (9, "Таблица", "v", "appendix"),
-]
-
-
-@query(f"SELECT ord, role FROM {_cases(ROLES)} AS t(ord, title, path, role)")
-def section_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles found by title and path, carried forward."""
-    from marginalia.operators import ordering
-
-    rows = spark.createDataFrame([(1, *r[:3]) for r in ROLES], "doc_id int, ord int, title string, path string")
-    return ordering.fill_forward(rows, ["doc_id"], "ord", Q.role_of(F.col("title"), F.col("path")), "role").select("ord", "role")
-
-
-PARTS = [(1, "- раз\n- два\n- три", ["раз", "два", "три"]), (2, "Сделай: 1) опиши 2) сравни", ["опиши", "сравни"]), (3, "цель; задачи; методы", ["цель", "задачи", "методы"]), (4, "один вопрос", ["один вопрос"]), (5, "1. альфа 2. бета", ["альфа", "бета"])]
-
-
-@query(f"SELECT id, parts FROM {_cases(PARTS)} AS t(id, q, parts)")
-def plan_subitems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:2] for r in PARTS], "id int, q string").select("id", Q.subitems(F.col("q")).alias("parts"))
-
-
-CHAPTERS = [(1, "о главах 1 и 3", [1, 2, 3]), (2, "главы 2-4", [2, 3, 4]), (3, "глава 5 и глава 2", [2, 5]), (4, "во второй главе и главе 1", [1])]
-
-
-@query(f"SELECT id, chapters FROM {_cases(CHAPTERS)} AS t(id, q, chapters)")
-def chapter_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:2] for r in CHAPTERS], "id int, q string").select("id", Q.chapter_range(F.col("q")).alias("chapters"))
-
-
-SLOTS = [(1, "Методы и цель, потом выводы", ["метод", "цель", "вывод"]), (2, "предмет исследования", ["предмет"])]
-
-
-@query(f"SELECT id, slots FROM {_cases(SLOTS)} AS t(id, q, slots)")
-def slots_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:2] for r in SLOTS], "id int, q string").select("id", Q.slots_in_order(F.col("q")).alias("slots"))
-
-
 @query("SELECT doc_id, length(text) > 800 OR (length(text) > 400 AND len(regexp_extract_all(lower(text), 'глав|раздел|таблиц|рисун|цель|задач|вывод|метод')) >= 4) AS big FROM documents")
 def big_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", Q.big_query(F.col("text")).alias("big"))
 
 
-PASSPORTS = [(1, "Цель исследования: изучить рынок. Объект исследования — банк. Гипотеза: рост.", "изучить рынок", "банк", None, "рост", None), (2, "Предметом работы является процесс\nАктуальность - высокая.", None, None, "процесс", None, "высокая")]
-
-
-@query(f"SELECT * EXCLUDE (t) FROM {_cases(PASSPORTS)} AS x(id, t, goal, object, subject, hypothesis, relevance)")
-def intro_passport(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:2] for r in PASSPORTS], "id int, t string").select("id", Q.passport(F.col("t")).alias("p")).select("id", "p.*")
-
-
-BIBLIOGRAPHY = [(1, "1. Иванов И. Книга\nпродолжение\n2. Петров П.\n[3] Smith J.\n  Journal", ["Иванов И. Книга продолжение", "Петров П.", "Smith J.   Journal"])]
-
-
-@query(f"SELECT id, entries FROM {_cases(BIBLIOGRAPHY)} AS t(id, b, entries)")
-def split_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([r[:2] for r in BIBLIOGRAPHY], "id int, b string").select("id", Q.references(F.col("b")).alias("entries"))
-
-
-CHART = """<c:chartSpace xmlns:c="x"><c:chart><c:barChart><c:ser><c:tx><c:v>A</c:v></c:tx><c:cat><c:pt idx="0"><c:v>2020</c:v></c:pt><c:pt idx="2"><c:v>2022</c:v></c:pt></c:cat><c:val><c:pt idx="0"><c:v>1.5</c:v></c:pt><c:pt idx="2"><c:v>x</c:v></c:pt></c:val></c:ser><c:ser><c:tx><c:v>B</c:v></c:tx><c:cat/><c:val><c:pt idx="1"><c:v>7</c:v></c:pt></c:val></c:ser><c:ser><c:tx><c:v>C</c:v></c:tx></c:ser></c:barChart></c:chart></c:chartSpace>"""
-
-
-@query("SELECT 1 AS chart_id, * FROM (VALUES (0, 'A', 0, '2020', 1.5::DOUBLE), (0, 'A', 1, NULL, NULL), (0, 'A', 2, '2022', 0.0), (1, 'B', 0, NULL, NULL), (1, 'B', 1, NULL, 7.0)) AS t(series_idx, series, pt_idx, category, value)")
-def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series of a chart part as rows, with missing points."""
-    return charts.points(spark.createDataFrame([(1, CHART)], "chart_id int, xml string"))
-
-
 @query("""WITH e AS (SELECT user_id, CAST(datediff('day', (SELECT min(ts) FROM events), ts) AS BIGINT) AS d, value FROM events), s AS (SELECT user_id, d, round(sum(value), 4) AS v FROM e GROUP BY ALL),
 m AS (SELECT user_id, unnest(range(max(d) + 1)) AS d FROM s GROUP BY user_id) SELECT user_id, d, v FROM m LEFT JOIN s USING (user_id, d)""")
 def chart_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
