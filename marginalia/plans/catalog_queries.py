@@ -27,15 +27,15 @@ def upsert_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.upsert(old, new, ["id"], "o_orderkey")
 
 
-@query("""WITH new AS (SELECT doc_id, item.item_id, item.text FROM documents d JOIN benchmark item ON d.doc_id % 40 = item.item_id AND d.doc_id < 100),
+@query("""WITH new AS (SELECT d.doc_id, item.item_id, item.text FROM documents d JOIN benchmark item ON d.doc_id % 40 = item.item_id SEMI JOIN labels l ON l.doc_id = d.doc_id),
 old AS (SELECT doc_id, 1 AS ord, text FROM documents)
 SELECT doc_id, ord, text FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY item_id), text FROM new""")
 def replace_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sections of some documents replaced, the others as they are."""
+    """All sections of the documents that have labels replaced, the others as they are."""
     docs = read(spark, sf_dir, "documents")
     old = docs.select("doc_id", F.lit(1).alias("ord"), "text")
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    new = docs.where("doc_id < 100").select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id").select("doc_id", "item_id", F.col("item").alias("text"))
+    new = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(items, "item_id").select("doc_id", "item_id", F.col("item").alias("text"))
     return catalog.replace(old, new, "doc_id", "item_id")
 
 

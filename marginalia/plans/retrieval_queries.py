@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from marginalia.functions import labels, signals
 from marginalia.operators import joins, retrieval as R
 from marginalia.plans.registry import query, read
 from marginalia.sources import chunks
@@ -35,21 +36,28 @@ def like_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(scored, ["q_id"], ["score", "doc_id"], 20)
 
 
-@query("""WITH s AS (SELECT item_id, lower(text) AS t, unnest(range(least(6, 1 + greatest(length(text) - 90, 0) // 25))) AS piece_no FROM benchmark),
+@query("""WITH s AS (SELECT item_id, lower(text) AS t, unnest(range(least(6, CASE WHEN length(text) <= 90 THEN 1 ELSE 1 + (length(text) - 30) // 25 END))) AS piece_no FROM benchmark),
 p AS (SELECT item_id, piece_no, substr(t, 1 + 25 * piece_no, 90) AS piece FROM s)
-SELECT item_id, doc_id, min(piece_no) AS piece_no, arg_min(strpos(lower(d.text), piece), piece_no) AS at FROM p JOIN documents d ON contains(lower(d.text), piece) WHERE len(string_split(piece, ' ')) >= 6 GROUP BY ALL""")
+SELECT item_id, doc_id, min(piece_no) AS piece_no, arg_min(strpos(lower(d.text), piece), piece_no) AS at FROM p JOIN documents d ON contains(lower(d.text), piece) WHERE trim(piece) <> '' GROUP BY ALL""")
 def verbatim_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents quote which benchmark items, by pieces of ninety characters."""
     return R.verbatim(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-UNIT_SQL = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / (sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) + 1e-9)) AS v FROM embeddings),
-sims AS (SELECT q.vec_id AS q_id, c.vec_id AS id, c.label, round(list_inner_product(q.v, c.v), 6) AS sim FROM u q, u c WHERE q.vec_id < 5)"""
+#: Every fiftieth vector is a question; its text is one of these.
+ASKED = ["table 3 and 5, 1, 2, 4?", "show figure 4 " + "please " * 14, "what is in chapter 2", "references 1 and 6", "when was 7?"]
+ASKED_SQL = "asked AS (SELECT unnest(range(5)) AS slot, unnest(['" + "', '".join(ASKED) + "']) AS query)"
+UNIT_SQL = f"""{ASKED_SQL}, u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / (sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) + 1e-9)) AS v FROM embeddings),
+sims AS (SELECT q.vec_id AS q_id, c.vec_id AS id, c.label, round(list_inner_product(q.v, c.v), 6) AS sim FROM u q, u c WHERE q.vec_id % 50 = 0)"""
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", R.normalised(F.col("embedding")).alias("v"))
-    return rows, rows.where("id < 5").select(F.col("id").alias("q_id"), F.col("v").alias("qv"))
+    return rows, rows.where("id % 50 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("qv"))
+
+
+def _query_of(q_id: str):
+    return F.element_at(F.lit(ASKED), (F.floor(F.col(q_id) / 50) % len(ASKED) + 1).cast("int"))
 
 
 @query(f"WITH {UNIT_SQL} SELECT q_id, id, sim, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, id) AS place FROM sims QUALIFY place <= 20")
@@ -60,48 +68,56 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KINDS = ["table", "figure", "heading", "reference", "page", "text", "table_row", "text", "text", "heading"]
 KIND_SQL = "['" + "','".join(KINDS) + "'][label + 1]"
-BOOST_SQL = f"""{UNIT_SQL}, p AS (SELECT *, {KIND_SQL} AS kind FROM sims QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, id) <= 48),
-b AS (SELECT q_id, id, kind, round(sim + CASE WHEN q_id = 0 AND kind IN ('table', 'table_row') THEN 0.12 ELSE 0 END + CASE WHEN q_id = 1 AND kind = 'figure' THEN 0.14 ELSE 0 END + CASE WHEN q_id = 2 AND kind = 'heading' THEN 0.06 ELSE 0 END
-  + CASE WHEN kind = 'reference' THEN CASE WHEN q_id = 3 THEN 0.35 ELSE -0.12 END ELSE 0 END + CASE WHEN id % 17 = 0 THEN 0.24 ELSE 0 END + CASE WHEN id % 19 = 0 THEN 0.26 ELSE 0 END + least(0.025 * (id % 7), 0.12)
-  - CASE WHEN kind = 'page' AND q_id = 4 THEN 0.03 ELSE 0 END - CASE WHEN kind IN ('text', 'heading', 'page') AND id % 5 = 0 THEN 0.04 ELSE 0 END, 6) AS score FROM p)"""
+BOOST_SQL = f"""{UNIT_SQL}, p AS (SELECT *, {KIND_SQL} AS kind, list_distinct([CAST(id % 7 AS VARCHAR), CAST(label AS VARCHAR)]) AS nums FROM sims QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, id) <= 48),
+f AS (SELECT p.*, query, regexp_matches(query, '\\btable\\b') AS t, regexp_matches(query, '\\bfigure\\b') AS g, regexp_matches(query, '\\bchapter\\b') AS h, regexp_matches(query, '\\breferences\\b') AS r, len(list_intersect(nums, list_distinct(regexp_extract_all(query, '\\d+')))) AS shared FROM p JOIN asked ON slot = q_id // 50 % 5),
+b AS (SELECT q_id, id, kind, query, round(sim + CASE WHEN t AND kind IN ('table', 'table_row') THEN 0.12 ELSE 0 END + CASE WHEN g AND kind = 'figure' THEN 0.14 ELSE 0 END + CASE WHEN h AND kind = 'heading' THEN 0.06 ELSE 0 END
+  + CASE WHEN kind = 'reference' THEN CASE WHEN r THEN 0.35 ELSE -0.12 END ELSE 0 END + CASE WHEN regexp_extract(query, 'table (\\d+)', 1) = CAST(id % 17 AS VARCHAR) THEN 0.24 ELSE 0 END + CASE WHEN regexp_extract(query, 'figure (\\d+)', 1) = CAST(id % 19 AS VARCHAR) THEN 0.26 ELSE 0 END + least(0.025 * shared, 0.12)
+  - CASE WHEN kind = 'page' AND NOT (t OR g OR h OR r) THEN 0.03 ELSE 0 END - CASE WHEN kind IN ('text', 'heading', 'page') AND id % 5 = 0 THEN 0.04 ELSE 0 END, 6) AS score FROM f)"""
 
 
 def _boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 48 nearest of each question with their boosted scores; signals and numbers come from the question's text, a chunk's text has two numbers."""
     rows, asked = _vectors(spark, sf_dir)
-    near = R.cosine(rows, asked, 48).join(rows.select("id", "label"), "id")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("label") + 1)
-    asks = {k: F.col("q_id") == i for i, k in enumerate(["table", "figure", "heading", "sources"])}
-    score = R.boosted(F.col("sim"), kind, asks, F.col("id") % 17 == 0, F.col("id") % 19 == 0, F.col("id") % 7, F.col("id") % 5 == 0)
-    return near.select("q_id", "id", kind.alias("kind"), F.round(score, 6).alias("score"))
+    near = R.cosine(rows, asked, 48).join(rows.select("id", "label"), "id").withColumn("query", _query_of("q_id"))
+    kind = F.element_at(F.lit(KINDS), F.col("label") + 1)
+    text = F.concat_ws(" ", F.lit("item"), (F.col("id") % 7).cast("string"), F.lit("of"), F.col("label").cast("string"))
+    hit = lambda numbers, n: F.array_contains(numbers(F.col("query")), (F.col("id") % n).cast("string"))
+    score = R.boosted(F.col("sim"), kind, signals.asks(F.col("query")), hit(labels.table_numbers, 17), hit(labels.figure_numbers, 19), R.shared_numbers(text, F.col("query")), F.col("id") % 5 == 0)
+    return near.select("q_id", "id", kind.alias("kind"), "query", F.round(score, 6).alias("score"))
 
 
-@query(f"WITH {BOOST_SQL} SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS place FROM b")
+@query(f"WITH {BOOST_SQL} SELECT q_id, id, kind, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS place FROM b")
 def cosine_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 48 nearest, ranked anew by types asked for, numbers named and shared, and short texts."""
-    return R.top(_boosted(spark, sf_dir), ["q_id"], [F.desc("score"), "id"], 48)
+    return R.top(_boosted(spark, sf_dir).drop("query"), ["q_id"], [F.desc("score"), "id"], 48)
 
 
-@query(f"WITH {BOOST_SQL} SELECT q_id, id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS place FROM b WHERE score >= CASE WHEN q_id = 4 THEN 0.18 ELSE 0.24 END AND (kind <> 'reference' OR q_id = 3) QUALIFY place <= CASE WHEN q_id = 0 THEN 12 WHEN q_id = 1 THEN 10 ELSE 8 END")
+@query(f"WITH {BOOST_SQL} SELECT q_id, id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS place FROM b WHERE score >= CASE WHEN contains(query, 'when') THEN 0.18 ELSE 0.24 END AND (kind <> 'reference' OR contains(query, 'references')) QUALIFY place <= CASE WHEN len(query) > 200 OR len(query) - len(replace(query, ',', '')) > 3 THEN 12 WHEN len(query) > 100 THEN 10 ELSE 8 END")
 def retrieve_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits above the threshold (lower for questions of fact), references only if asked for, as many as the question's form asks."""
-    texts = [(0, "a, b, c; d, e?"), (1, "x" * 120), (2, "short"), (3, "sources"), (4, "when was it?")]
-    asked = spark.createDataFrame(texts, "q_id long, query string").select("q_id", R.adaptive_k(F.col("query")).alias("k"))
-    rows = _boosted(spark, sf_dir).where((F.col("score") >= F.when(F.col("q_id") == 4, 0.18).otherwise(0.24)) & ((F.col("kind") != "reference") | (F.col("q_id") == 3)))
-    return R.top(rows, ["q_id"], [F.desc("score"), "id"], 12).join(F.broadcast(asked), "q_id").where(F.col("place") <= F.col("k")).select("q_id", "id", "score", "place")
+    facty, query_ = F.col("query").rlike(r"\bwhen\b|сколько|когда"), F.col("query")
+    rows = _boosted(spark, sf_dir).where((F.col("score") >= F.when(facty, 0.18).otherwise(0.24)) & ((F.col("kind") != "reference") | signals.asks(query_)["sources"]))
+    return R.top(rows, ["q_id"], [F.desc("score"), "id"], 12).where(F.col("place") <= R.adaptive_k(query_)).select("q_id", "id", "score", "place")
 
 
-@query(f"""WITH {TERMS_SQL}, {UNIT_SQL}, sem AS (SELECT q_id + 1 AS q_id, id, sim FROM sims QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, id) <= 30),
-lex AS (SELECT q_id, doc_id AS id, score FROM bm QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score, doc_id) <= 30),
+@query(f"""WITH {TERMS_SQL}, {UNIT_SQL}, sem AS (SELECT q_id, id, sim FROM sims QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, id) <= 30),
+lex5 AS (SELECT q_id, doc_id AS id, score FROM bm QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score, doc_id) <= 30),
+lex AS (SELECT s.q_id, l.id, l.score FROM (SELECT DISTINCT q_id FROM sims) s JOIN lex5 l ON l.q_id = s.q_id // 50 % 5 + 1),
 m AS (SELECT coalesce(s.q_id, l.q_id) AS q_id, coalesce(s.id, l.id) AS id, sim, l.score FROM sem s FULL JOIN lex l ON s.q_id = l.q_id AND s.id = l.id),
-r AS (SELECT q_id, id, round(CASE WHEN sim IS NOT NULL THEN sim + CASE WHEN score IS NOT NULL THEN 0.12 ELSE 0 END + least(0.02 * (id % 3), 0.08) ELSE 0.15 / (1 + abs(score)) END, 6) AS score, CASE WHEN sim IS NULL THEN 'lex' WHEN score IS NULL THEN 'sem' ELSE 'both' END AS source FROM m)
+n AS (SELECT m.*, coalesce(len(list_intersect(regexp_extract_all(text, '\\d+(?:[.,]\\d+)?'), regexp_extract_all(query, '\\d+(?:[.,]\\d+)?'))), 0) AS shared FROM m JOIN q ON q.q_id = m.q_id // 50 % 5 + 1 LEFT JOIN documents ON doc_id = m.id),
+r AS (SELECT q_id, id, round(CASE WHEN sim IS NOT NULL THEN sim + CASE WHEN score IS NOT NULL THEN 0.12 ELSE 0 END + least(0.02 * shared, 0.08) ELSE 0.15 / (1 + abs(score)) END, 6) AS score, CASE WHEN sim IS NULL THEN 'lex' WHEN score IS NULL THEN 'sem' ELSE 'both' END AS source FROM n)
 SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS place FROM r QUALIFY place <= 40""")
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Semantic and lexical hits in one list; shared numbers are stood for by a function of the id."""
+    """Semantic and lexical hits in one list, with the numbers that question and text share; each vector goes with one of five questions."""
     rows, asked = _vectors(spark, sf_dir)
-    sem = R.cosine(rows, asked, 30).select((F.col("q_id") + 1).alias("q_id"), "id", "sim")
-    lex = R.bm25(read(spark, sf_dir, "documents").select("doc_id", "text"), spark.sql(QUESTIONS), 30).select(F.col("q_id").cast("long").alias("q_id"), F.col("doc_id").alias("id"), "score")
-    shared = sem.select("q_id", "id", (F.col("id") % 3).alias("shared"))
-    return R.hybrid(sem, lex, shared, 40)
+    five = spark.sql(QUESTIONS).select((F.col("q_id") - 1).cast("long").alias("at"), "query")
+    asked = asked.withColumn("at", F.floor(F.col("q_id") / 50) % 5)
+    sem = R.cosine(rows, asked.drop("at"), 30).select("q_id", "id", "sim")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = R.bm25(docs, spark.sql(QUESTIONS), 30).select((F.col("q_id") - 1).cast("long").alias("at"), F.col("doc_id").alias("id"), "score")
+    lex = asked.select("q_id", "at").join(found, "at").select("q_id", "id", "score")
+    texts = sem.select("q_id", "id").join(docs.withColumnRenamed("doc_id", "id"), "id").join(asked.select("q_id", "at").join(five, "at"), "q_id")
+    return R.hybrid(sem, lex, texts.select("q_id", "id", R.shared_numbers(F.col("text"), F.col("query")).alias("shared")), 40)
 
 
 @query(f"""WITH {chunks.SQL}, h AS (SELECT doc_id, id, text, strpos(lower(text), 'licen') AS spot FROM chunks WHERE regexp_matches(lower(text), 'licen[sc]e') AND starts_with(section_path, 'S0'))
