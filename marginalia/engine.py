@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marginalia.functions import questions
-from marginalia.operators import aggregates, retrieval
+from marginalia.functions import questions, signals
+from marginalia.operators import aggregates, context, grids, retrieval
 from marginalia.sources import chunks, decoders
 
 
@@ -34,7 +34,8 @@ class Engine:
             return lexical
         rows = docs.select(F.col("doc_id").alias("id"), retrieval.normalised(self.embed(F.col("text"))).alias("v"))
         near = retrieval.cosine(rows, asked.select("q_id", retrieval.normalised(self.embed(F.col("query"))).alias("qv")), k).drop("place")
-        shared = near.select("q_id", "id", F.lit(0).alias("shared"))
+        texts = near.select("q_id", "id").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(asked.select("q_id", "query"), "q_id")
+        shared = texts.select("q_id", "id", retrieval.shared_numbers(F.col("text"), F.col("query")).alias("shared"))
         return retrieval.hybrid(near, lexical.select("q_id", F.col("doc_id").alias("id"), "score"), shared, k).withColumnRenamed("id", "doc_id")
 
     def context(self, hits: DataFrame, docs: DataFrame, limit: int = 6000) -> DataFrame:
@@ -52,3 +53,20 @@ class Engine:
             return found
         enough = F.length(F.coalesce("context", F.lit(""))) >= 100
         return found.withColumn("answer", F.when(enough, self.answer(F.concat_ws("\n\n", "query", "context"))))
+
+    def ask_reports(self, chunks: DataFrame, asked: DataFrame) -> DataFrame:
+        """q_id, doc_id, type, n, context, good and, with a model, the answer of questions about documents' tables, figures and sections.
+
+        chunks and asked as in operators.context; a context that fails the strict gate gives no answer.
+        """
+        found = context.for_questions(chunks, asked)
+        if self.answer is None:
+            return found
+        texts = found.join(asked.select("q_id", "doc_id", "query"), ["q_id", "doc_id"])
+        return texts.withColumn("answer", F.when(F.col("good"), self.answer(F.concat_ws("\n\n", "query", "context")))).drop("query")
+
+    def check(self, grid: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+        """All checks of a set of grids (table_id, row_idx, cells); with questions (query), only if one of them asks for calculations."""
+        if asked is not None and not asked.where(signals.asks_for_calculation(F.col("query"))).limit(1).count():
+            return grids.report(grid.limit(0))
+        return grids.report(grid)

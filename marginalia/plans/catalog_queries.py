@@ -88,3 +88,23 @@ def redeem_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").where("event_type = 'purchase'")
     moment = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
     return queues.access_until(rows.withColumn("moment", moment), "user_id", "moment", 1 + F.col("event_id") % 30)
+
+
+@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS owner, text, CAST(NULL AS INTEGER) AS indexer_version, lang, source, n_chars FROM documents")
+def additive_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under a schema with columns that they lack; none of theirs is lost."""
+    return catalog.evolved(read(spark, sf_dir, "documents"), "doc_id long, owner string, text string, indexer_version int")
+
+
+@query("""WITH old AS (SELECT p_size AS doc_id, CASE WHEN p_partkey % 3 > 0 THEN 'Рисунок ' || p_partkey || '.1' END AS label, CAST(NULL AS VARCHAR) AS num, 'img' || p_partkey AS image, p_name AS caption FROM part WHERE p_partkey % 4 > 0),
+new AS (SELECT p_size AS doc_id, CASE WHEN p_partkey % 3 > 0 THEN 'Рисунок ' || p_partkey || '.1' END AS label, 'img' || p_partkey AS image, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS caption FROM part WHERE p_partkey % 2 = 0)
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.label, o.label) AS label, coalesce(nullif(regexp_extract(n.label, '\\d+(\\.\\d+)?'), ''), o.num) AS num, coalesce(n.image, o.image) AS image, coalesce(n.caption, o.caption) AS caption FROM old o FULL JOIN new n ON o.doc_id = n.doc_id AND o.image = n.image""")
+def upsert_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures found by label or by image and overlaid, their numbers read from the labels; each comes twice, the later counts."""
+    p = read(spark, sf_dir, "part")
+    label = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("Рисунок "), F.col("p_partkey").cast("string"), F.lit(".1")))
+    rows = p.select("p_partkey", F.col("p_size").alias("doc_id"), label.alias("label"), F.lit(None).cast("string").alias("num"), F.concat(F.lit("img"), F.col("p_partkey").cast("string")).alias("image"), F.col("p_name").alias("caption"), "p_brand")
+    old = rows.where("p_partkey % 4 > 0").drop("p_partkey", "p_brand")
+    new = rows.where("p_partkey % 2 = 0").select("doc_id", "label", "num", "image", F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).alias("caption"))
+    twice = new.withColumn("at", F.lit(2)).unionByName(new.withColumn("caption", F.lit("early")).withColumn("at", F.lit(1)))
+    return catalog.upsert_figures(old, twice, "at")

@@ -33,3 +33,39 @@ def same_width(rows: DataFrame, keys: list[str], order: str, vector: str) -> Dat
     rows = rows.where(F.col(vector).isNotNull()).withColumn("_width", first).where(F.size(vector) == F.col("_width")).drop("_width")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)) + 1e-9
     return rows.withColumn("_norm", norm).withColumn("unit", F.transform(v, lambda x: x / F.col("_norm"))).drop("_norm")
+
+
+def evolved(rows: DataFrame, schema: str) -> DataFrame:
+    """rows with the columns of a schema that they lack added as nulls, and theirs that it lacks kept behind: additive migration, nothing is dropped."""
+    wanted = rows.sparkSession.createDataFrame([], schema).schema
+    have = {c.lower(): c for c in rows.columns}
+    columns = [(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
+    known = {f.name.lower() for f in wanted}
+    return rows.select(*columns, *[F.col(f"`{c}`") for c in rows.columns if c.lower() not in known])
+
+
+def upsert_figures(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """Figures (doc_id, label, num, image, caption) overlaid by new ones, found by (doc_id, label), else by (doc_id, image); num is read from the label where it is null.
+
+    Nulls of a new row keep the old value; of several new rows of a figure the last counts; rows that
+    are found neither way are added. A figure without label and image is always a new one.
+    """
+    last = new.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.coalesce("label", F.concat(F.lit("\0"), "image"))).orderBy(F.desc(order)))).where("_n = 1 OR (label IS NULL AND image IS NULL)").drop("_n", order)
+    number = F.nullif(F.regexp_extract("label", r"\d+(?:\.\d+)?", 0), F.lit(""))
+    last = last.withColumn("num", F.coalesce("num", number)).withColumn("_new", F.monotonically_increasing_id())
+    held = old.withColumn("_old", F.monotonically_increasing_id())
+    by_label = last.join(held.select("doc_id", "label", "_old"), ["doc_id", "label"]).select("_new", "_old", F.lit(1).alias("way"))
+    by_image = last.join(held.select("doc_id", "image", "_old"), ["doc_id", "image"]).select("_new", "_old", F.lit(2).alias("way"))
+    match = by_label.unionByName(by_image).groupBy("_new").agg(F.min(F.struct("way", "_old")).alias("m")).select("_new", F.col("m._old").alias("_old"))
+    a, b = held.alias("a"), last.join(match, "_new", "left").alias("b")
+    both = a.join(b, F.col("a._old") == F.col("b._old"), "full_outer")
+    return both.select(*[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in old.columns])
+
+
+def cached(spark, where: str, key: str, version: int, make) -> DataFrame:
+    """make()'s rows, read from `where` if they were written for this key and version, else written first; a write that fails leaves nothing that is read."""
+    path = f"{where.rstrip('/')}/{key}.v{version}"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

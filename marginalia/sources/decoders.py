@@ -43,7 +43,9 @@ def docx(path: str, content: bytes) -> Iterator[dict]:
 
 
 def plain(path: str, content: bytes) -> Iterator[dict]:
-    """Any other file as one paragraph of its text."""
+    """Any other file as one paragraph of its text; binary content is an error."""
+    if b"\0" in content or content[:5] == b"%PDF-":
+        raise ValueError("binary content needs a decoder of its own")
     yield {"title": "Document", "level": 1, "element_type": "paragraph", "text": content.decode("utf-8", "replace")}
 
 

@@ -61,8 +61,10 @@ def test_lossy_packing(spark):
 
 
 def test_upper_median(spark):
-    rows = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (1, 4.0)], "g int, v double")
-    assert rows.groupBy("g").agg(aggregates.upper_median(F.col("v")).alias("m")).first()["m"] == 3.0
+    rows = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (1, 4.0), (2, 7.0), (2, 7.0), (3, 5.0)], "k int, x double")
+    got = {r["k"]: (r["n"], r["x"]) for r in aggregates.upper_medians(rows, ["k"], ["x"]).collect()}
+    assert got == {1: (4, 3.0), 2: (2, 7.0), 3: (1, 5.0)}
+    assert aggregates.upper_medians(rows.limit(0), ["k"], ["x"]).count() == 0
 
 
 def test_band_join_is_the_theta_join(spark):

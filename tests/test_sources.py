@@ -43,3 +43,41 @@ def test_questions_to_answers(spark):
     embed = lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float"))
     hits = Engine(spark, embed=embed).search(docs, asked).where("q_id = 1").collect()
     assert {r["doc_id"] for r in hits} == {1, 2, 3}
+
+
+def test_binary_files_are_errors(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 x")
+    (tmp_path / "b.png").write_bytes(b"\x89PNG\0\0")
+    (tmp_path / "c.txt").write_text("plain")
+    from marginalia.sources import decoders
+
+    got = {r["path"][-5:]: (r["element_type"], r["text"]) for r in decoders.read_sections(spark, str(tmp_path)).collect()}
+    assert got["c.txt"] == ("paragraph", "plain") and got["a.pdf"][0] == got["b.png"][0] == "error"
+
+
+def test_cached_rows(spark, tmp_path):
+    from marginalia.sources import catalog
+
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    for version in (1, 1, 2):
+        assert catalog.cached(spark, str(tmp_path), "key", version, make).count() == 3
+    assert len(made) == 2
+
+
+def test_engine_on_reports_and_grids(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.engine import Engine
+    from marginalia.plans import context_queries, grid_queries
+
+    data = "/root/testdata/sf0.001"
+    chunks = context_queries.reports(spark, data)
+    doc = chunks.agg(F.min("doc_id")).first()[0]
+    asked = spark.createDataFrame([(1, doc, "Опиши таблицу 1.1")], "q_id int, doc_id long, query string")
+    r = Engine(spark, answer=lambda prompt: F.length(prompt)).ask_reports(chunks, asked).first()
+    assert r["type"] == "table" and r["context"].startswith("Таблица 1.1") and r["answer"] > len(r["context"])
+    grid = grid_queries._grid(spark, data)
+    none = spark.createDataFrame([("о чём работа",)], "query string")
+    assert Engine(spark).check(grid, none).count() == 0
+    assert {r["kind"] for r in Engine(spark).check(grid).select("kind").distinct().collect()} >= {"table_total", "table_delta", "cross_table"}
