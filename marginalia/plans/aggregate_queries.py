@@ -89,6 +89,8 @@ SELECT source, doc_id, bin FROM f WHERE bin < 40""")
 def group_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy packing of texts in order into at most 40 steps of 6000 characters (for each owner's list)."""
     rows = read(spark, sf_dir, "documents").select("source", "doc_id", F.least(F.length("text"), F.lit(4000)).alias("n"))
+    # forty steps hold no more than their characters, so only such a prefix is gathered
+    rows = agg.budget_prefix(rows, ["source"], ["doc_id"], F.col("n"), 40 * 6000, cut_last=False)
     lists = rows.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("items"))
     put = lists.select("source", F.explode(F.arrays_zip(F.transform("items", lambda x: x["doc_id"]).alias("doc_id"), agg.bins(F.transform("items", lambda x: x["n"]), 6000, 40).alias("bin"))).alias("x"))
     return put.select("source", "x.doc_id", "x.bin").where("bin IS NOT NULL")

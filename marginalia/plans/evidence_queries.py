@@ -40,9 +40,11 @@ f AS (SELECT source, ls, least(len(ls), 500) AS n, 0 AS k FROM l UNION ALL SELEC
 SELECT source, CAST(n AS INT) AS shown, len(ls) AS total_rows, n < len(ls) AS truncated FROM f WHERE k = 80""")
 def rows_and_chars_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of a table fit: 500 at most, then fewer until they have 20000 characters."""
-    rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.length("text").alias("n")))), lambda x: x["n"]).alias("ls"))
-    shown = texts.within(F.col("ls"), 500, 20000)
-    return rows.select("source", shown.alias("shown"), F.size("ls").alias("total_rows")).withColumn("truncated", F.col("shown") < F.col("total_rows"))
+    docs = read(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("n"))
+    first = docs.withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("_k <= 500")
+    shown = first.groupBy("source").agg(texts.within(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n"))), lambda x: x["n"]), 500, 20000).alias("shown"))
+    total = docs.groupBy("source").agg(F.count("*").cast("int").alias("total_rows"))
+    return shown.join(total, "source").withColumn("truncated", F.col("shown") < F.col("total_rows"))
 
 
 @query("""WITH s AS (SELECT doc_id, CASE WHEN contains(text, 'Licen') THEN text END AS a, CASE WHEN length(text) >= 260 THEN left(text, 600) END AS b, left(text, 100) AS c FROM documents)

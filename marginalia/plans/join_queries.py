@@ -62,8 +62,7 @@ SELECT label_id, id, n FROM hits WHERE n <= 4""")
 def mentions_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four texts that mention each label, by one extraction of all references and an equality join."""
     labels = spark.sql(MENTIONS)
-    read(spark, sf_dir, "part").createOrReplaceTempView("_mention_part")
-    texts = spark.sql(MENTION_TEXTS.replace("FROM part", "FROM _mention_part"))
+    texts = spark.sql(MENTION_TEXTS.replace("FROM part", "FROM {part}"), part=read(spark, sf_dir, "part"))
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b((?:figure|table|part)\s+[0-9]+(?:\.[0-9]+)*)"), F.lit(1))
     posts = texts.select("id", F.explode(F.array_distinct(found)).alias("ref"))
     posts = posts.select("id", F.split("ref", r"\s+").alias("ref")).select("id", F.col("ref")[0].alias("kind"), F.col("ref")[1].alias("label"))
