@@ -45,13 +45,3 @@ def rows_and_chars_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = first.groupBy("source").agg(texts.within(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n"))), lambda x: x["n"]), 500, 20000).alias("shown"))
     total = docs.groupBy("source").agg(F.count("*").cast("int").alias("total_rows"))
     return shown.join(total, "source").withColumn("truncated", F.col("shown") < F.col("total_rows"))
-
-
-@query("""WITH s AS (SELECT doc_id, CASE WHEN contains(text, 'Licen') THEN text END AS a, CASE WHEN length(text) >= 260 THEN left(text, 600) END AS b, left(text, 100) AS c FROM documents)
-SELECT doc_id, CASE WHEN length(a) >= 260 THEN 'coverage' WHEN b IS NOT NULL THEN 'best' ELSE 'vector' END AS stage, length(CASE WHEN length(a) >= 260 THEN a WHEN b IS NOT NULL THEN b ELSE c END) AS chars FROM s""")
-def context_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of several contexts that is long enough, and which it was."""
-    text = F.col("text")
-    a, b, c = F.when(text.contains("Licen") & (F.length(text) >= 260), text), F.when(F.length(text) >= 260, F.substring(text, 1, 600)), F.substring(text, 1, 100)
-    stage = F.when(a.isNotNull(), "coverage").when(b.isNotNull(), "best").otherwise("vector")
-    return read(spark, sf_dir, "documents").select("doc_id", stage.alias("stage"), F.length(F.coalesce(a, b, c)).alias("chars"))
