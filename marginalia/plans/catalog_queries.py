@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marginalia.functions import signals
 from marginalia.plans.registry import query, read
 from marginalia.sources import catalog
 from marginalia.streaming import queues
@@ -108,3 +109,21 @@ def upsert_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = rows.where("p_partkey % 2 = 0").select("doc_id", "label", "num", "image", F.when(F.col("p_partkey") % 5 > 0, F.col("p_brand")).alias("caption"))
     twice = new.withColumn("at", F.lit(2)).unionByName(new.withColumn("caption", F.lit("early")).withColumn("at", F.lit(1)))
     return catalog.upsert_figures(old, twice, "at")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size <> 7 ELSE true END AS stale, p_partkey % 3 <> 2 AS sources FROM part""")
+def index_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which indexes were made by another model or width, and which paths name a list of sources."""
+    size = F.col("p_size").cast("string")
+    profile = F.element_at(F.array(F.concat(F.lit("emb=small|dim="), size), F.concat(F.lit("emb=large|dim="), size), F.lit("broken"), F.lit(None).cast("string")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = F.element_at(F.array(F.lit("3 Список литературы"), F.lit("References / 1"), F.col("p_name")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", catalog.stale_profile(profile, "small", 7).alias("stale"), signals.is_reference_section(path).alias("sources"))
+
+
+@query("""SELECT o_custkey AS doc_id, CAST(0 AS BIGINT) AS "references", CAST(count(*) * 2 AS BIGINT) AS media, false AS empty FROM orders GROUP BY 1 HAVING count(*) >= 3""")
+def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chunks of reports of three orders or more hold."""
+    from marginalia.plans import context_queries
+
+    many = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).count().where("count >= 3").select("doc_id")
+    return catalog.health(context_queries.reports(spark, sf_dir).join(many, "doc_id", "left_semi"))

@@ -69,3 +69,15 @@ def cached(spark, where: str, key: str, version: int, make) -> DataFrame:
     if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def stale_profile(profile: Column, model: str, width: int) -> Column:
+    """Whether an index's profile ('emb=model|dim=width') names another embedding model or width than the present one, or none."""
+    told = F.str_to_map(F.coalesce(profile, F.lit("")), F.lit(r"\|"), F.lit("="))
+    return ~(told["emb"].eqNullSafe(F.lit(model)) & told["dim"].eqNullSafe(F.lit(str(width))))
+
+
+def health(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, references, media and empty of each document's chunks: what an index lacks is indexed again."""
+    kind = F.col("element_type")
+    return chunks.groupBy(key).agg(F.count_if(kind == "reference").alias("references"), F.count_if(kind.isin("figure", "table")).alias("media"), (F.sum(F.length(F.trim("text"))) < 500).alias("empty"))
