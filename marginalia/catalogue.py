@@ -11,7 +11,7 @@ _INTS = {
     "cross_table_facts": "tables", "trend_outliers": "year", "checks_report": "place", "calc_candidates": "place", "rows_and_chars_limits": "total_rows",
     "left_join_nulls_first": "place", "mentions_theta": "n", "nearest_caption": "pos caption_pos", "ordered_merge": "place", "full_outer_lists": "sem_rank lex_rank", "coverage_round_robin": "rank place",
     "context_coverage": "rank", "batch_tasks": "place", "list_user_documents": "place", "bm25_topk": "place", "like_topk": "place", "verbatim_hits": "piece_no at", "cosine_topk": "place",
-    "cosine_boosted": "place", "retrieve_thresholds": "place", "hybrid_merge": "place", "label_suggest": "distance place", "split_and_fold_cells": "n",
+    "cosine_boosted": "place", "retrieve_thresholds": "place", "hybrid_merge": "place", "label_suggest": "distance place", "split_and_fold_cells": "n", "sample_context": "n groups",
 }
 _OTHERS = {"conditional_counts": {"chars": "BIGINT"}, "chunk_greedy_pack": {"chars": "BIGINT"}, "percent_sanity": {"sum": "DOUBLE"}, "like_topk": {"score": "DOUBLE"}}
 

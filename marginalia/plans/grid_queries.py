@@ -9,7 +9,7 @@ from marginalia.operators import checks, grids
 from marginalia.plans.registry import query, read
 
 #: A table for each nation: segments by two years, their difference (wrong in every fifth), growth (off for one segment) and a total (wrong in every ninth).
-GRID_SQL = """y AS (SELECT c_nationkey AS t, c_mktsegment AS s, CAST(floor(sum(CASE WHEN year(o_orderdate) = 1994 THEN o_totalprice ELSE 0 END)) AS BIGINT) AS y1, CAST(floor(sum(CASE WHEN year(o_orderdate) = 1995 THEN o_totalprice ELSE 0 END)) AS BIGINT) AS y2 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+GRID_SQL = """y AS (SELECT c_nationkey AS t, c_mktsegment AS s, CAST(floor(sum(CASE WHEN year(o_orderdate) = 1994 THEN o_totalprice ELSE 0 END) + 0.005) AS BIGINT) AS y1, CAST(floor(sum(CASE WHEN year(o_orderdate) = 1995 THEN o_totalprice ELSE 0 END) + 0.005) AS BIGINT) AS y2 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
 g AS (SELECT t, s, row_number() OVER (PARTITION BY t ORDER BY s) - 1 + CASE WHEN t % 2 = 1 THEN 2 ELSE 1 END AS r, CAST(y1 AS DOUBLE) AS y1, CAST(y2 AS DOUBLE) AS y2, CAST(y2 - y1 + CASE WHEN t % 5 = 1 THEN 5000 ELSE 0 END AS DOUBLE) AS d,
   CASE WHEN y1 > 0 THEN CAST(floor(100.0 * y2 / y1) - CASE WHEN t % 2 = 0 THEN 100 ELSE 0 END + CASE WHEN s = 'BUILDING' THEN 7 ELSE 0 END AS DOUBLE) END AS p FROM y),
 cells AS (SELECT t, s, r, unnest([1, 2, 3, 4]) AS c, unnest([y1, y2, d, p]) AS v FROM g)"""
@@ -17,7 +17,8 @@ cells AS (SELECT t, s, r, unnest([1, 2, 3, 4]) AS c, unnest([y1, y2, d, p]) AS v
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    sums = [F.floor(F.sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice")).otherwise(0.0))).alias(n) for y, n in ((1994, "y1"), (1995, "y2"))]
+    # half a hundredth keeps whole sums from falling below themselves, whatever the order of adding
+    sums = [F.floor(F.sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice")).otherwise(0.0)) + 0.005).alias(n) for y, n in ((1994, "y1"), (1995, "y2"))]
     rows = both.groupBy(F.col("c_nationkey").cast("long").alias("table_id"), F.col("c_mktsegment").alias("s")).agg(*sums)
     odd = F.col("table_id") % 2 == 1
     growth = F.when(F.col("y1") > 0, F.floor(F.lit(100.0) * F.col("y2") / F.col("y1")) - F.when(odd, 0).otherwise(100) + F.when(F.col("s") == "BUILDING", 7).otherwise(0))
