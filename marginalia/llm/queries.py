@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, langid, line_dedup, minhash, packing, sharding, spm, url_rules, warc, whitening, winnow
+from . import ann, bpe, langid, line_dedup, minhash, packing, periodic, sharding, spm, url_rules, warc, whitening, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,5 +71,9 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"), most=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_sharding, op4_sentencepiece, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op9_language_pages, op10_nearest, op11_byte_bpe, op12_whitening)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.described(periodic.collapse(periodic.planted(_read(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_near_duplicates, op3_sharding, op4_sentencepiece, op5_warc, op6_fingerprints, op7_packing, op8_url_filter, op9_language, op9_language_pages, op10_nearest, op11_byte_bpe, op12_whitening, op13_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_near_duplicates": minhash.SQL, "op5_warc": warc.SQL}
