@@ -62,15 +62,6 @@ def upsert_figures(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
     return both.select(*[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in old.columns])
 
 
-def cached(spark, where: str, key: str, version: int, make) -> DataFrame:
-    """make()'s rows, read from `where` if they were written for this key and version, else written first; a write that fails leaves nothing that is read."""
-    path = f"{where.rstrip('/')}/{key}.v{version}"
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def stale_profile(profile: Column, model: str, width: int) -> Column:
     """Whether an index's profile ('emb=model|dim=width') names another embedding model or width than the present one, or none."""
     told = F.str_to_map(F.coalesce(profile, F.lit("")), F.lit(r"\|"), F.lit("="))

@@ -56,12 +56,12 @@ def test_binary_files_are_errors(spark, tmp_path):
 
 
 def test_cached_rows(spark, tmp_path):
-    from marginalia.sources import catalog
+    from marginalia.sources import versions
 
     made = []
     make = lambda: made.append(1) or spark.range(3)
     for version in (1, 1, 2):
-        assert catalog.cached(spark, str(tmp_path), "key", version, make).count() == 3
+        assert versions.cached(spark, str(tmp_path), "key", version, make).count() == 3
     assert len(made) == 2
 
 
