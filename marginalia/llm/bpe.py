@@ -28,8 +28,11 @@ from . import common
 
 DTYPE = np.dtype("<u4")
 NEVER = 1 << 40
+START = -1
 #: Characters that stand for one whose class differs between the two libraries.
 STAND_INS = {"letter": "a", "digit": "1", "space": " ", "other": "\ue000"}
+#: The pattern of the vocabularies at hand with the alternatives of words first: they begin with other characters than the marks, and are by far the most.
+PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: How far behind its start a match of the pattern can look (a mark and two letters).
 LOOKS = 3
 
@@ -75,9 +78,6 @@ class Vocabulary:
             found = self.halves[token] = (pieces[0], pieces[1]) if len(pieces) == 2 else None
         return found
 
-    def made(self, token: int) -> bool:
-        return len(self.bytes_of[token]) == 1 or self.parts(token) is not None
-
     def edge(self, token: int, right: bool) -> list[tuple[int, int]]:
         """The tokens that stand at a token's right (left) end while it is being merged, each with the rank of the merge that takes it away."""
         chain, gone = [], NEVER
@@ -92,62 +92,61 @@ class Vocabulary:
         """Whether the bytes of two tokens side by side are encoded as just these two.
 
         They are not, if a merge across the boundary comes while both of its sides stand there. Of
-        merges of one rank the left one comes first.
+        merges of one rank the left one comes first. Before the first token of a piece stands START.
         """
-        key = before << 32 | token
-        known = self.allowed.get(key)
-        if known is None:
-            known = True
+        known = len(self.bytes_of[token]) == 1 or self.parts(token) is not None
+        if known and before != START:
             rights = self.edge(token, False)
             for left, left_gone in self.edge(before, True):
                 head = self.bytes_of[left]
                 if any((rank := self.ranks.get(head + self.bytes_of[right])) is not None and rank < left_gone and rank <= right_gone for right, right_gone in rights):
                     known = False
                     break
-            if len(self.allowed) >= 4_000_000:
-                self.allowed.clear()
-            self.allowed[key] = known
+        if len(self.allowed) >= 4_000_000:
+            self.allowed.clear()
+        self.allowed[before << 32 | token] = known
         return known
 
 
 class Prefixes:
-    """A piece of bytes that grows at its end, with the last token of each of its prefixes."""
+    """A piece of bytes that grows at its end, with the last token of each of its prefixes (START for none)."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, bytearray(), array("i")
-        self.append(data)
+        self.v, self.data, self.last = vocabulary, b"", [START]
+        if data:
+            self.append(data)
 
     def append(self, more: bytes) -> None:
-        endings, follows, last = self.v.endings, self.v.follows, self.last
-        begin = len(self.data)
-        self.data += more
-        data = bytes(self.data)
-        for end in range(begin + 1, len(data) + 1):
-            at = end - 1
-            while at >= 0:
-                token = endings.get(data[at:end], -1)
-                if token == -1:
-                    raise ValueError("no token ends here")
-                if token is not None and (not at or follows(last[at - 1], token)) and self.v.made(token):
-                    last.append(token)
-                    break
+        data, last, add = self.data + more, self.last, self.last.append
+        ending, allowed, follows = self.v.endings.get, self.v.allowed.get, self.v.follows
+        for end in range(len(self.data) + 1, len(data) + 1):
+            at = end
+            while True:
                 at -= 1
-            else:
-                raise ValueError("no token ends here")
+                token = ending(data[at:end], -1)
+                if token is not None:
+                    if token < 0 or at < 0:
+                        raise ValueError("no token ends here")
+                    before = last[at]
+                    known = allowed(before << 32 | token)
+                    if known or known is None and follows(before, token):
+                        add(token)
+                        break
+        self.data = data
 
     def prefix(self, size: int) -> Prefixes:
         """The first bytes as a piece of their own, with what is stored of them."""
         out = Prefixes(self.v)
-        out.data, out.last = self.data[:size], self.last[:size]
+        out.data, out.last = self.data[:size], self.last[: size + 1]
         return out
 
     def ids(self, size: int | None = None) -> list[int]:
         """Tokens of the prefix of so many bytes (the whole)."""
-        end, out = len(self.data) if size is None else size, []
+        end, out, last, bytes_of = len(self.data) if size is None else size, [], self.last, self.v.bytes_of
         while end:
-            token = self.last[end - 1]
+            token = last[end]
             out.append(token)
-            end -= len(self.v.bytes_of[token])
+            end -= len(bytes_of[token])
         out.reverse()
         return out
 
@@ -196,7 +195,7 @@ def _ranges(chars) -> list[tuple[str, str]]:
 class Codec:
     """Encodes texts to packed ids and back. Pieces are remembered in a bounded memory."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = 250_000):
+    def __init__(self, path: str, pattern: str = PATTERN, remembered: int = 400_000):
         self.v, self.split, self.remembered = Vocabulary.of(path), splitter(pattern), remembered
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -208,7 +207,7 @@ class Codec:
     def piece(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
-            found = np.array(self.tokens(piece.encode()), DTYPE).tobytes()
+            found = array("I", self.tokens(piece.encode())).tobytes()
         if len(piece) <= 64:
             if len(self.new) >= self.remembered:
                 self.old, self.new = self.new, {}
@@ -216,14 +215,13 @@ class Codec:
         return found
 
     def encode(self, text: str | None) -> bytes:
-        out, new = [], self.new
-        for piece in self.split(text or ""):
-            packed = new.get(piece)
-            if packed is None:
-                packed = self.piece(piece)
-                new = self.new
-            out.append(packed)
-        return b"".join(out)
+        pieces = self.split(text or "")
+        packed = list(map(self.new.get, pieces))
+        if None in packed:
+            for k, p in enumerate(packed):
+                if p is None:
+                    packed[k] = self.new.get(pieces[k]) or self.piece(pieces[k])
+        return b"".join(packed)
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(packed, DTYPE).tolist()))
@@ -237,7 +235,7 @@ class Editable:
     begins at a place where, moved by the edit, an old one began.
     """
 
-    def __init__(self, path: str, pattern: str, text: str = ""):
+    def __init__(self, path: str, pattern: str = PATTERN, text: str = ""):
         self.v, self.split = Vocabulary.of(path), splitter(pattern)
         self.text, self.starts, self.pieces, self.encoded = "", [], [], 0
         self.replace(0, 0, text)
@@ -264,7 +262,7 @@ class Editable:
                     break
             data = piece.encode()
             if old is not None and at == old_start:
-                same = _shared(bytes(old.data), data)
+                same = _shared(old.data, data)
                 made.append(old.prefix(same))
             else:
                 same = 0
@@ -310,7 +308,7 @@ def _shared(a: bytes, b: bytes) -> int:
     return int((np.frombuffer(a[:least], np.uint8) != np.frombuffer(b[:least], np.uint8)).argmax())
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
     """doc_id and ids of each row of docs; null and empty texts have no ids.
 
     Of a long text a task holds the text, its pieces and its ids. Repeated rows are encoded each, null
@@ -341,7 +339,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def encode_edited(docs: DataFrame, edits: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_edited(docs: DataFrame, edits: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
     """doc_id, ids and encoded_bytes of texts after an edit: `edits` has doc_id, start, length and new (text), at most one row a document.
 
     encoded_bytes counts the bytes that were encoded anew after the edit. Documents without an edit are
@@ -367,7 +365,7 @@ def encode_edited(docs: DataFrame, edits: DataFrame, path: str, pattern: str) ->
     return joined.select("doc_id", "text", F.col("start").cast("int"), F.col("length").cast("int"), "new").mapInArrow(run, "doc_id long, ids array<int>, encoded_bytes long")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256 (of the bytes that the ids give).
 
     One row for each of docs, repeated or not; null texts count as empty. Long texts, empty tables and

@@ -26,7 +26,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.Codec(PATH, PATTERN)
+    return bpe.Codec(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +63,7 @@ def test_every_prefix_has_its_own_encoding(codec, library):
 
 
 def test_a_small_memory_changes_nothing(codec, library):
-    small = bpe.Codec(PATH, PATTERN, remembered=3)
+    small = bpe.Codec(PATH, remembered=3)
     text = " ".join(f"word{i % 11} and other{i % 5}" for i in range(400))
     assert small.encode(text) == codec.encode(text) and len(small.new) <= 3
 
@@ -83,7 +83,7 @@ def test_edits_equal_encoding_the_whole(library, pool):
     rng = random.Random(2)
     for k in range(400):
         text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 400 if k % 20 == 0 else 20)))
-        held = bpe.Editable(PATH, PATTERN, text)
+        held = bpe.Editable(PATH, text=text)
         for _ in range(4):
             a = rng.randint(0, len(text))
             b, new = min(len(text), a + rng.choice([0, 0, 1, 2, 5, 50])), "".join(rng.choice(pool) for _ in range(rng.randint(0, 4)))
