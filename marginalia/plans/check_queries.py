@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from marginalia.functions import expressions
 from marginalia.operators import checks, tables
 from marginalia.plans.registry import query, read
 
@@ -173,3 +174,24 @@ def checks_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct findings of each report, faults first, under quotas."""
     rows = read(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("message"), (F.col("l_linenumber") % 2 == 0).alias("ok"))
     return checks.ordered(rows, ["l_suppkey"], "message", 4, 2)
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size AS a, p_partkey % 50 + 1 AS b, p_partkey % 7 + 2 AS c, p_partkey % 1000 + 11000 AS d, p_partkey % 6 AS shape, p_partkey % 10 = 0 AS off FROM part),
+v AS (SELECT *, CASE shape WHEN 0 THEN (a + b) * c - d WHEN 1 THEN d - (a - (b - c)) WHEN 2 THEN a * (b + (c + d) * 2) WHEN 3 THEN -(a + b) * -c WHEN 4 THEN a + b * c WHEN 5 THEN d END AS x FROM p),
+s AS (SELECT *, CAST(x AS DOUBLE) AS value, CAST(x + CASE WHEN off THEN 5 + abs(x) ELSE 0 END AS DOUBLE) AS stated FROM v)
+SELECT id, CASE WHEN shape = 5 THEN 'equality' ELSE 'formula' END AS kind, value, stated, NOT off AS ok FROM s
+UNION ALL SELECT id, 'bare', CAST(d * c - b AS DOUBLE), NULL, NULL FROM s WHERE NOT off""")
+def arithmetic_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested expressions, equalities and expressions without a result, written into texts and read back; a tenth of the results are wrong, and their texts' bare expressions are not counted then."""
+    key = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select(key.alias("id"), F.col("p_size").alias("a"), (key % 50 + 1).alias("b"), (key % 7 + 2).alias("c"), (key % 1000 + 11000).alias("d"), (key % 6).alias("shape"), (key % 10 == 0).alias("off"))
+    shapes = ["(%1$d + %2$d) × %3$d − %4$d", "%4$d - (%1$d − (%2$d - %3$d))", "%1$d * (%2$d + (%3$d + %4$d) * 2)", "-(%1$d + %2$d) × -%3$d", "%1$d + %2$d x %3$d", "%4$d"]
+    a, b, c, d = (F.col(n) for n in "abcd")
+    values = [(a + b) * c - d, d - (a - (b - c)), a * (b + (c + d) * 2), -(a + b) * -c, a + b * c, d]
+    pick = lambda options: F.element_at(F.array(*options), (F.col("shape") + 1).cast("int"))
+    stated = pick([v.cast("long") for v in values]) + F.when(F.col("off"), 5 + F.abs(pick([v.cast("long") for v in values]))).otherwise(0)
+    text = F.concat(F.lit("По расчёту "), pick([F.format_string(s, "a", "b", "c", "d") for s in shapes]), F.lit(" = "), stated.cast("string"), F.lit(". Затем "), F.format_string("%d * %d - %d", "d", "c", "b"), F.lit(" за период."))
+    rows = p.select("id", text.alias("text"))
+    claims = rows.select("id", F.explode(expressions.equalities(F.col("text"))).alias("e")).select("id", "e.kind", "e.value", "e.stated", "e.ok")
+    bare = rows.select("id", F.explode(expressions.bare_expressions(F.col("text"))).alias("e")).select("id", F.lit("bare").alias("kind"), "e.value", F.lit(None).cast("double").alias("stated"), F.lit(None).cast("boolean").alias("ok"))
+    return claims.unionByName(bare)
