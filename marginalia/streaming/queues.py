@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 # The limits of the queue and the states of processing.
 TTL = "12 hours"
@@ -53,6 +55,96 @@ def stream_states(events: DataFrame, allowed: dict[str, list[str]], start: str =
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, state string, accepted long", "state string, accepted long", "update", "NoTimeout")
 
 
+def waiting(events: DataFrame, now: Column, ttl: str = TTL, most: int = MOST) -> DataFrame:
+    """What is in each user's queue at `now`, if drains take all that came before them: events have user_id, event_id, ts and kind (enqueue or drain).
+
+    A drain takes what has its moment or an earlier one. The rest is as in pending().
+    """
+    drained = events.where("kind = 'drain'").groupBy("user_id").agg(F.max("ts").alias("_drained"))
+    left = events.where("kind = 'enqueue'").join(drained, "user_id", "left").where("_drained IS NULL OR ts > _drained").drop("_drained")
+    return pending(left, "user_id", "ts", now, ttl, most)
+
+
+def _queue_processor(ttl_micros: int, most: int) -> StatefulProcessor:
+    columns = ["user_id", "event_id", "at", "text", "status", "place"]
+
+    class Queue(StatefulProcessor):  # made here, so that it travels as it is
+        """One user's queue: the newest entries since the last drain, and that drain's moment. A timer wakes it when its oldest entry is too old."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.items = handle.getListState("items", "at long, event_id long, text string")
+            self.drained = handle.getValueState("drained", "at long")
+
+        def told(self, key, taken: list[tuple], held: list[tuple]) -> pd.DataFrame:
+            """Stores the queue and says what was drained and what is queued; a user without entries is told too, so that what was told before ends."""
+            if held:
+                self.items.put(held)
+                self.handle.registerTimer(held[0][0] // 1000 + 1)
+            else:
+                self.items.clear()
+            out = [(key[0], i[1], i[0], i[2], status, k) for status, rows in (("drained", taken), ("queued", held)) for k, i in enumerate(rows, 1)]
+            return pd.DataFrame(out or [(key[0], None, None, None, "empty", 0)], columns=columns).astype({"event_id": "Int64", "at": "Int64"})
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            before = self.drained.get()[0] if self.drained.exists() else None
+            held, drains, taken = [tuple(i) for i in self.items.get()], [], []
+            for frame in rows:
+                for r in frame.itertuples(index=False):
+                    if r.kind == "drain":
+                        drains.append(int(r.at))
+                    elif r.kind == "enqueue":
+                        entry = (int(r.at), int(r.event_id), None if pd.isna(r.text) else r.text)
+                        # what came before a drain that is past is handed on at once
+                        (taken if before is not None and entry[0] <= before else held).append(entry)
+            held.sort(key=lambda i: i[:2])
+            for drain in sorted(d for d in drains if before is None or d > before):
+                due = [i for i in held if i[0] <= drain]
+                held = held[len(due) :]
+                taken += [i for i in due if i[0] >= drain - ttl_micros][-most:]
+                before = drain
+            if before is not None:
+                self.drained.update((before,))
+            yield self.told(key, taken, held[-most:])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            late = timerValues.getCurrentWatermarkInMs() * 1000
+            yield self.told(key, [], [tuple(i) for i in self.items.get() if i[0] >= late])
+
+        def close(self) -> None:
+            pass
+
+    return Queue()
+
+
+def stream_queue(events: DataFrame, ttl_seconds: int = 12 * 3600, most: int = MOST) -> DataFrame:
+    """The queues of a stream of (user_id, event_id, ts, kind, text), after each batch for the users whose queue it touches.
+
+    Rows are user_id, event_id, at (microseconds), text, status and place: queued are all entries of
+    the user's queue now, drained those that the batch's drains took, empty a user without entries.
+    What is queued equals waiting() over all events so far, whatever the order they come in: events
+    older than the time limit (and a second) before the newest are too old for the queue and are left
+    out by the watermark, and entries that grow too old are taken out by timers. An entry that comes
+    after a drain later than it is handed on as drained at once. State is bounded: `most` entries a
+    user. The session needs the state store that keyed_state() sets.
+    """
+    seen = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "kind", "text").withWatermark("ts", f"{ttl_seconds + 1} seconds")
+    rows = seen.withColumn("at", F.unix_micros("ts"))
+    return rows.groupBy("user_id").transformWithStateInPandas(_queue_processor(ttl_seconds * 1_000_000, most), "user_id long, event_id long, at long, text string, status string, place int", "Update", "EventTime")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Within it, streams that are started keep their state in a store that can hold lists and time limits."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_pending_counts(events: DataFrame, ttl: str = TTL, every: str = "1 hour") -> DataFrame:
     """Queue lengths of a stream by window of event time; late rows beyond the limit are dropped by the watermark."""
     return events.withWatermark("ts", ttl).groupBy(F.window("ts", every), "user_id").agg(F.count("*").alias("n"))
