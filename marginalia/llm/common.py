@@ -32,15 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="marginalia-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
+    _goes_at_exit(spark, sc.getCheckpointDir())
     return base.rstrip("/")
 
 
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below the shared one; it goes when the driver's JVM ends."""
-    where = f"{shared_dir(spark)}/marginalia-{what}-{uuid.uuid4().hex}"
+def _goes_at_exit(spark: SparkSession, where: str) -> None:
+    """Makes a folder, and has it deleted when the driver's JVM ends: only one that is there already can be named for that."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return where
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+
+
+def fresh_dir(spark: SparkSession, what: str) -> str:
+    """A place for a new folder below the shared one; it goes when the driver's JVM ends."""
+    own = f"{shared_dir(spark)}/marginalia-{what}-{uuid.uuid4().hex}"
+    _goes_at_exit(spark, own)
+    return f"{own}/rows"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -46,13 +46,14 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def record_uri(page_id: int | None) -> str:
-    return f"urn:marginalia:page:{'' if page_id is None else page_id}"
+def record_uri(page_id: int | None, digest: str, ordinal: int = 0) -> str:
+    """The identifier of a record: its page, its payload, and which of equal rows it is (the first without a number). It depends on no other row's place."""
+    return f"urn:marginalia:page:{'' if page_id is None else page_id}:{digest}" + (f":{ordinal}" if ordinal else "")
 
 
 def page_of(uri: str | None) -> int | None:
-    tail = (uri or "").strip("<>").rpartition(":")[2].partition(";")[0]
-    return int(tail) if tail else None
+    page = uri.strip("<>").split(":")[3] if uri else ""
+    return int(page) if page else None
 
 
 def digest_of(payload: bytes) -> str:
@@ -75,7 +76,7 @@ def make_record(record_id: str, url: str | None, payload: bytes, digest: str, re
     if url is not None:
         head.insert(4, "WARC-Target-URI: " + re.sub(r"[\r\n\0]", " ", url))
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_uri(refers_to)}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_uri(refers_to, digest)}>"]
     return "\r\n".join(head).encode() + CRLF * 2 + block + CRLF * 2
 
 
@@ -178,8 +179,9 @@ def write_archives(pages: DataFrame, where: str, *, least_bytes: int = 0, frame_
     Among rows of equal payload (of at least least_bytes), that with the largest page_id is a
     response and the others revisit it; smaller payloads are all responses. A null html is an empty
     payload, a null page_id sorts before all others, a null url leaves its header out. Repeated rows
-    of the largest page_id are all responses; of rows with one page_id the first in a partition has the page's
-    identifier, further ones have one of their own. A long payload is held by one task with its
+    of the largest page_id are all responses. A record's identifier names its page and its payload, so
+    that rows that share a page_id have different ones and a revisit's target is known without a look-up;
+    rows equal in both are numbered, and the first is the target. A long payload is held by one task with its
     frame. Bundles end at bundle_bytes; an attempt of a task writes files of its own, which count
     only once its part of the index is committed. An empty table writes no bundle. Other columns of
     pages are not kept, whatever their names.
@@ -193,23 +195,22 @@ def write_archives(pages: DataFrame, where: str, *, least_bytes: int = 0, frame_
     older = older.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     rows = rows.join(older, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
     rows = rows.select("page_id", "url", "html", "digest", "refers_to", F.col("_digest").isNotNull().alias("revisit"))
-    rows = rows.sortWithinPartitions("page_id", "revisit", "url")
+    rows = _counted(rows).sortWithinPartitions("page_id", "revisit", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = files(where)
         store.create_dir(folder, recursive=True)
-        attempt, writer, count, last = uuid.uuid4().hex, None, 0, ()
+        attempt, writer, count = uuid.uuid4().hex, None, 0
 
         for batch in batches:
-            for page_id, url, text, digest, refers_to, revisit in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit", "ordinal"))
+            for page_id, url, text, digest, refers_to, revisit, ordinal in zip(*columns, strict=True):
                 if writer is None:
                     name, count = f"{attempt}-{count:05d}.warc.zst", count + 1
                     writer = BundleWriter(store.open_output_stream(f"{folder}/{name}", compression=None), name, frame_bytes)
-                record_id = record_uri(page_id)
-                if last == (page_id,):
-                    record_id = f"{record_uri(page_id)};{uuid.uuid4().hex}"
-                last = (page_id,)
-                writer.add(record_id, make_record(record_id, url, text.encode(), base64.b32encode(digest).decode(), revisit, refers_to))
+                told = base64.b32encode(digest).decode()
+                record_id = record_uri(page_id, told, ordinal)
+                writer.add(record_id, make_record(record_id, url, text.encode(), told, revisit, refers_to))
                 if writer.written >= bundle_bytes:
                     writer.close()
                     yield batch_of(writer.index, INDEX_SCHEMA)
@@ -222,6 +223,17 @@ def write_archives(pages: DataFrame, where: str, *, least_bytes: int = 0, frame_
     return index_of(common.session_of(pages), where)
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Adds ordinal: from 0 among rows of equal page_id and digest. Only rows that have equals are dealt and numbered."""
+    equal = F.struct("page_id", "digest")
+    repeated = common.cut(rows.select("page_id", "digest").groupBy("page_id", "digest").count().where("count > 1").select(equal.alias("_equal")))
+    if repeated.isEmpty():
+        return rows.withColumn("ordinal", F.lit(0).cast("long"))
+    several = rows.join(repeated, equal.eqNullSafe(F.col("_equal")), "left_semi").withColumn("_group", F.xxhash64("page_id", "digest")).withColumn("_tie", F.monotonically_increasing_id())
+    several = common.numbered(several, "_group", ["_tie"], "ordinal").drop("_group", "_tie")
+    return rows.join(repeated, equal.eqNullSafe(F.col("_equal")), "left_anti").withColumn("ordinal", F.lit(0).cast("long")).unionByName(several)
+
+
 def index_of(spark, where: str) -> DataFrame:
     """The index of the bundles in a folder: record_id, bundle, frame, offset, length."""
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{where}/{INDEX}")

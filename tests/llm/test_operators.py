@@ -273,19 +273,40 @@ def test_archives(spark, tmp_path):
     index = table.collect()
     by = {r["record_id"]: r for r in index}
     assert len(by) == len(rows)  # identifiers are unique
-    some = warc.fetch_records(table.where(F.col("record_id").isin(warc.record_uri(42), warc.record_uri(77))), where).collect()
+    uri = lambda i: warc.record_uri(i, warc.digest_of(rows[[r[0] for r in rows].index(i)][2].encode()))
+    some = warc.fetch_records(table.where(F.col("record_id").isin(*(uri(i) for i in (42, 77)))), where).collect()
     assert {r["page_id"] for r in some} == {42, 77} and all(r["intact"] for r in some)
     (tmp_path / "w" / "stale.warc.zst").write_bytes(b"left by a lost attempt")
     assert warc.fetch_records(warc.index_of(spark, where), where).count() == len(rows)
-    r = by[warc.record_uri(42)]
+    r = by[uri(42)]
     with open(f"{where}/{r['bundle']}", "rb") as bundle:
         record = warc.fetch(bundle, r["frame"], r["offset"], r["length"])
-    assert record.headers["WARC-Record-ID"] == "<urn:marginalia:page:42>" and len(warc.seek_table(io.BytesIO(open(f"{where}/{r['bundle']}", "rb").read()))) > 1
+    assert record.headers["WARC-Record-ID"] == f"<{uri(42)}>" and len(warc.seek_table(io.BytesIO(open(f"{where}/{r['bundle']}", "rb").read()))) > 1
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "u", "lang " * 2_000_000), (2, "u", "kurz")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["payload_bytes"], r["intact"]) for r in warc.archive_round_trip(long).collect()) == [(1, 10_000_000, True), (2, 4, True)]
 
 
+def test_every_revisit_leads_to_its_payload(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"page {i} of kind {k}" if k else "shared by all") for i in range(20) for k in range(3)]
+    rows += [(5, "u", "A"), (5, "u", "B"), (3, "u", "B"), (None, "u", "B"), (7, "u", "A"), (7, "v", "A"), (7, "w", "A"), (2, "u", "A"), (2, "u", "A"), (None, None, None), (None, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    where = str(tmp_path / "w")
+    index = warc.write_archives(pages, where, frame_bytes=300).collect()
+    assert len({r["record_id"] for r in index}) == len(index) == len(rows)
+    records = {}
+    for r in index:
+        with open(f"{where}/{r['bundle']}", "rb") as bundle:
+            records[r["record_id"]] = warc.fetch(bundle, r["frame"], r["offset"], r["length"])
+    revisits = [r for r in records.values() if r.headers["WARC-Type"] == "revisit"]
+    assert len(revisits) == 19 + 2 + 3  # shared, B of 3 and none, A of 5 and twice of 2
+    for r in revisits:
+        target = records[r.headers["WARC-Refers-To"].strip("<>")]
+        assert target.headers["WARC-Type"] == "response" and not r.payload and warc.digest_of(target.payload) == r.headers["WARC-Payload-Digest"].removeprefix("sha1:")
+    payloads = collections.Counter(target.payload.decode() for target in (records[r.headers["WARC-Refers-To"].strip("<>")] if r.headers["WARC-Type"] == "revisit" else r for r in records.values()))
+    assert payloads == collections.Counter(h or "" for _, _, h in rows)
+
+
 # 6: fingerprints
 
 
