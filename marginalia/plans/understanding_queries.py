@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from marginalia.functions import questions as Q
+from marginalia.functions import questions as Q, semantic_plans
 from marginalia.operators import charts
 from marginalia.plans.registry import query, read
 
@@ -53,3 +53,28 @@ def chart_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = charts.shares(rows.withColumn("unit", F.when(F.col("chart") % 2 == 0, "%").otherwise("шт")), ["chart", "series"], "v", "unit")
     line = charts.bullet(F.col("label"), F.col("v"), F.col("unit"), F.col("share"))
     return rows.select("chart", "series", "label", "share", (~F.element_at(F.split(line, ": "), -1).contains(".")).alias("whole"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 9 + 1 AS a, p_size AS b, p_partkey % 3 AS m, (p_partkey // 2) % 2 = 1 AS w1, (p_partkey // 4) % 2 = 1 AS w2, (p_partkey // 8) % 2 = 1 AS w3, (p_partkey // 16) % 2 = 1 AS w4, (p_partkey // 32) % 2 = 1 AS w5 FROM part),
+o AS (SELECT *, [CASE WHEN w1 THEN CAST(a AS VARCHAR) END, CASE WHEN w3 THEN a || '.' || b END] AS named, list_transform(range(a, a + 3), lambda x: CAST(x AS VARCHAR)) AS span FROM p),
+s AS (SELECT *, list_filter([CASE WHEN w1 THEN 'goal' END, CASE WHEN w1 THEN 'tasks' END, CASE WHEN w2 THEN 'object' END, CASE WHEN w2 THEN 'subject' END, CASE WHEN w3 THEN 'hypothesis' END, CASE WHEN w5 THEN 'conclusions' END], lambda x: x IS NOT NULL) AS told,
+  list_filter(list_concat(named, CASE WHEN w5 THEN span ELSE [] END), lambda x: x IS NOT NULL) AS sections FROM o),
+t AS (SELECT *, CASE WHEN m = 1 AND len(sections) > 0 AND NOT (w1 OR w5) THEN list_concat(told, ['goal', 'tasks', 'conclusions']) ELSE told END AS slots FROM s),
+f AS (SELECT *, list_distinct(list_concat(CASE WHEN len(slots) > 0 AND len(sections) = 0 THEN ['intro'] ELSE [] END, sections, CASE WHEN list_contains(slots, 'conclusions') THEN ['1', '2'] ELSE [] END)) AS keys FROM t)
+SELECT id, ['generic', 'tutor_overview', 'compare_objects'][m + 1] AS mode, array_to_string(slots, ',') AS slots, array_to_string(list_sort(keys), ',') AS sections, CASE WHEN w4 THEN b || '.' || a || ',' || b || '.' || (a + 1) ELSE '' END AS tables, CASE WHEN w4 THEN 'A' || b ELSE '' END AS figures,
+  CASE WHEN w1 THEN CAST(a AS VARCHAR) WHEN list_contains(slots, 'goal') THEN array_to_string(list_sort(keys), ',') ELSE '' END AS goal, CASE WHEN w2 AND (w3 OR NOT w4) THEN array_to_string(list_sort(keys), ',') ELSE '' END AS object FROM f""")
+def semantic_plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of questions put together of up to five clauses with nested names and ranges: mode, slots, objects by kind, and what two of the slots are about."""
+    key = F.col("p_partkey")
+    a, b, text = key % 9 + 1, F.col("p_size"), lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    when = lambda bit, clause: F.when(F.floor(key / bit) % 2 == 1, clause)
+    clauses = [
+        when(2, text("Цель и задачи работы главы ", a)), when(4, F.lit("что является объектом и предметом исследования")), when(8, text("какая гипотеза в подразделе ", a, ".", b)),
+        when(16, text("таблицы ", b, ",", a, " и ", b, ".", a + 1, " и рис. A", b)), when(32, text("главные выводы по главам ", a, "–", a + 2)),
+    ]
+    mode = F.element_at(F.array(F.lit("Скажи"), F.lit("Объясни простым языком"), F.lit("Сравни")), (key % 3 + 1).cast("int"))
+    rows = read(spark, sf_dir, "part").select(key.alias("id"), F.concat_ws("; ", mode, *clauses).alias("question"))
+    plans = rows.select("id", semantic_plans.plan(F.col("question")).alias("p"))
+    keys = lambda kind: F.transform(F.filter("p.objects", lambda o: o["kind"] == kind), lambda o: o["key"])
+    about = lambda slot: F.array_join(F.array_sort(F.transform(F.filter("p.bound", lambda o: (o["slot"] == slot) & (o["kind"] == "section")), lambda o: o["key"])), ",")
+    return plans.select("id", "p.mode", F.array_join("p.slots", ",").alias("slots"), F.array_join(F.array_sort(keys("section")), ",").alias("sections"), F.array_join(keys("table"), ",").alias("tables"), F.array_join(keys("figure"), ",").alias("figures"), about("goal").alias("goal"), about("object").alias("object"))
