@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from marginalia.operators import aggregates, ordering
+from marginalia.operators import aggregates, allocation, ordering
 from marginalia.plans.registry import query, read
 from marginalia.sources import chunks
 
@@ -139,3 +139,22 @@ def words_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     start = F.struct(F.lit(0.0).alias("start"), F.lit(0).alias("line"), F.array().cast("array<struct<pos:int,line_no:int>>").alias("out"))
     return pages.select("doc_id", F.explode(F.aggregate("words", start, step, lambda s: s["out"])).alias("x")).select("doc_id", "x.pos", "x.line_no")
+
+
+@query("""WITH RECURSIVE h AS (SELECT l_suppkey AS q, l_linenumber AS item, l_partkey % 40 AS chunk, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
+l AS (SELECT q, item, list(chunk ORDER BY score DESC, chunk) AS chunks FROM h GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY item) AS k FROM l),
+g AS (SELECT q, CAST(0 AS BIGINT) AS k, CAST(NULL AS INTEGER) AS item, CAST([] AS BIGINT[]) AS got, CAST([] AS BIGINT[]) AS used FROM i WHERE k = 1
+  UNION ALL SELECT g.q, i.k, CAST(i.item AS INTEGER), n.pick, list_concat(g.used, n.pick) FROM g JOIN i ON i.q = g.q AND i.k = g.k + 1, LATERAL (SELECT list_filter(CAST(i.chunks AS BIGINT[]), lambda c: NOT list_contains(g.used, c))[1:5] AS pick) n),
+a AS (SELECT q, item, unnest(got) AS chunk, unnest(range(1, len(got) + 1)) AS rank FROM g WHERE k > 0),
+w AS (SELECT q, min(item) AS item, chunk FROM h ANTI JOIN a USING (q, chunk) WHERE item IN (2, 5) GROUP BY q, chunk),
+b AS (SELECT w.q, w.item, w.chunk, row_number() OVER (PARTITION BY w.q, w.item ORDER BY h.score DESC, w.chunk) AS rank FROM w JOIN h USING (q, item, chunk)),
+o AS (SELECT q, chunk, max(score) AS score FROM h ANTI JOIN a USING (q, chunk) GROUP BY ALL), f AS (SELECT q, chunk, row_number() OVER (PARTITION BY q ORDER BY score DESC, chunk) AS rank FROM o ANTI JOIN b USING (q, chunk) QUALIFY rank <= 4),
+p AS (SELECT q, item, chunk, rank, 0 AS part, rank AS turn FROM a UNION ALL SELECT q, item, chunk, rank, 1, 0 FROM b UNION ALL SELECT q, NULL, chunk, rank, 2, 0 FROM f)
+SELECT q, CAST(item AS INTEGER) AS item, chunk, CAST(row_number() OVER (PARTITION BY q ORDER BY part, turn, item NULLS FIRST, rank) AS INTEGER) AS place FROM p""")
+def covered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks for the items of each question under a quota of five, with all values for two of the items and four more of the whole question."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("q"), F.col("l_linenumber").alias("item"), (F.col("l_partkey") % 40).alias("chunk"), F.col("l_extendedprice").alias("score"))
+    hits = rows.groupBy("q", "item", "chunk").agg(F.max("score").alias("score"))
+    overall = rows.groupBy("q", "chunk").agg(F.max("score").alias("score"))
+    wants = hits.where("item IN (2, 5)").select("q", "item").distinct()
+    return allocation.covered(hits, overall, ["q"], "item", "chunk", [F.desc("score"), "chunk"], quota=5, backfill=4, wants_all=wants).select("q", F.col("item").cast("int").alias("item"), "chunk", "place")

@@ -34,6 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut by a reliable checkpoint, for what is used several times or in rounds."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
+
+
 def _at(spark: SparkSession, where: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
