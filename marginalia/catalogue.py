@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.plans import aggregate_queries, catalog_queries, check_queries, context_queries, evidence_queries, grid_queries, join_queries, order_queries, package_queries, retrieval_queries, scalar_queries, storage_queries, text_queries, understanding_queries  # noqa: F401  each registers its queries
+from marginalia.plans import aggregate_queries, catalog_queries, check_queries, context_queries, evidence_queries, grid_queries, join_queries, layout_queries, order_queries, package_queries, retrieval_queries, scalar_queries, storage_queries, text_queries, understanding_queries  # noqa: F401  each registers its queries
 from marginalia.plans.registry import ORACLE_SQL as _SQL, QUERIES
 
 #: Columns whose types the other engine would make wider or decimal: a rank is an int here, a sum a long.
