@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marginalia.functions import variants
 from marginalia.operators import assignment, charts, layout, prompts
 from marginalia.plans.registry import query, read
 
@@ -60,3 +61,37 @@ def facts_in_a_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("notes"), F.lit("tables"), F.lit("values")), (line % 3 + 1).cast("int"))
     facts = rows.groupBy(F.col("l_suppkey").alias("q"), kind.alias("kind"), (F.col("l_orderkey") * 10 + line).alias("i")).agg(F.max(10 + F.col("l_partkey") % 90).alias("n"))
     return prompts.chosen(facts, ["q"], "kind", ["i"], F.col("n"), 1500).select("q", "kind", "i", "n")
+
+
+SHAPES_SQL = """p AS (SELECT p_partkey AS id, p_partkey % 7 AS shape, p_size AS a, p_partkey % 90 + 1 AS b, p_brand AS x, p_type AS y FROM (SELECT p_partkey, p_size, p_brand, 'kind ' || p_partkey % 5 AS p_type FROM part)),
+v AS (SELECT id, CAST(0 AS INTEGER) AS place, CASE WHEN shape IN (2, 3) THEN 's1' END AS series, x AS label, CAST(a AS DOUBLE) AS value, CASE WHEN shape IN (0, 2) THEN '%' END AS unit FROM p WHERE shape < 5
+UNION ALL SELECT id, 1, CASE WHEN shape = 0 THEN 'own' WHEN shape IN (2, 3) THEN 's1' END, y, CASE WHEN shape = 1 THEN NULL ELSE CAST(b AS DOUBLE) END, CASE WHEN shape = 2 THEN '%' END FROM p WHERE shape < 5
+UNION ALL SELECT id, 2, 's2', x, CAST(a * 2 AS DOUBLE), CASE WHEN shape = 2 THEN 'шт' END FROM p WHERE shape IN (2, 3)
+UNION ALL SELECT id, 3, 's2', y, NULL, CASE WHEN shape = 2 THEN 'шт' END FROM p WHERE shape IN (2, 3))"""
+
+
+def _attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and attrs of charts in five forms, and of texts that hold none or are broken."""
+    key = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select(key.alias("id"), (key % 7).alias("shape"), F.col("p_size").cast("string").alias("a"), (key % 90 + 1).cast("string").alias("b"), (F.col("p_size") * 2).cast("string").alias("c"), F.col("p_brand").alias("x"), F.concat(F.lit("kind "), (key % 5).cast("string")).alias("y"))
+    forms = [
+        '{"chart_data": [{"label": "%4$s", "value": %1$s, "unit": "%%"}, {"name": "%5$s", "y": %2$s, "series_name": "own"}, {"value": 3}]}',
+        '{"other": {}, "chart_data": [["%4$s", %1$s], ["%5$s", "text"]]}',
+        '{"chart_data": {"categories": ["%4$s", "%5$s"], "unit": "%%", "series": [{"name": "s1", "values": [%1$s, %2$s]}, {"title": "s2", "data": [%3$s], "unit": "шт"}]}}',
+        '{"chart_data": "none", "chart_matrix": {"labels": ["%4$s", "%5$s"], "series": [{"name": "s1", "values": [%1$s, %2$s]}, {"name": "s2", "values": [%3$s]}]}}',
+        '{"chart_data": [], "chart_matrix": {"labels": ["%4$s", "%5$s"], "values": [%1$s, %2$s]}}',
+        '{"chart_data": "%4$s"}', '{"chart_data": [%1$s',
+    ]
+    return p.select("id", F.element_at(F.array(*[F.format_string(f, "a", "b", "c", "x", "y") for f in forms]), (F.col("shape") + 1).cast("int")).alias("attrs"))
+
+
+@query(f"WITH {SHAPES_SQL} SELECT id, place, series, label, value, unit FROM v")
+def chart_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of charts whose attributes come in five forms, among broken and chartless ones."""
+    return variants.chart_points(_attributes(spark, sf_dir), "id", "attrs")
+
+
+@query(f"WITH {SHAPES_SQL} SELECT id, count(value) AS n, sum(value) AS total, min(value) AS low, max(value) AS high, 'Сумма = ' || CAST(sum(value) AS BIGINT) || '; мин = ' || CAST(min(value) AS BIGINT) || '; макс = ' || CAST(max(value) AS BIGINT) AS text FROM v GROUP BY id")
+def chart_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum, least and largest of all numbers of each of these charts."""
+    return charts.summary(variants.chart_points(_attributes(spark, sf_dir), "id", "attrs"), "id")
