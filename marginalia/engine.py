@@ -59,7 +59,14 @@ class Engine:
 
         chunks and asked as in operators.context; a context that fails the strict gate gives no answer.
         """
-        found = context.for_questions(chunks, asked)
+        near = None
+        if self.embed is not None:
+            rows = chunks.where(F.trim("text") != "").select("doc_id", "id", retrieval.normalised(self.embed(F.col("text"))).alias("v"))
+            told = asked.select("q_id", "doc_id", retrieval.normalised(self.embed(F.col("query"))).alias("qv"))
+            # a question meets the chunks of its own document
+            sims = told.join(rows, "doc_id").select("q_id", "doc_id", "id", F.round(retrieval.dot(F.col("v"), F.col("qv")), 6).alias("sim"))
+            near = retrieval.top(sims, ["q_id", "doc_id"], [F.desc("sim"), "id"], 16).drop("place")
+        found = context.for_questions(chunks, asked, near=near)
         if self.answer is None:
             return found
         texts = found.join(asked.select("q_id", "doc_id", "query"), ["q_id", "doc_id"])
