@@ -127,3 +127,22 @@ def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     many = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).count().where("count >= 3").select("doc_id")
     return catalog.health(context_queries.reports(spark, sf_dir).join(many, "doc_id", "left_semi"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS moment, event_id % 500 AS k FROM events WHERE event_type IN ('purchase', 'click')), n AS (SELECT min(CAST(floor(epoch(ts)) AS BIGINT)) AS lo FROM events),
+a AS (SELECT user_id, event_id, moment, k, CASE WHEN event_id % 13 = 0 THEN 'BAD ' || k ELSE 'ABCD-EF' || k % 10 || '0-' || lpad(CAST(k AS VARCHAR), 4, '0') END AS code FROM e),
+v AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'form' WHEN k % 7 = 0 THEN 'unknown' WHEN k % 11 = 0 THEN 'revoked' WHEN k % 5 = 0 AND moment >= lo + 20 * 86400 THEN 'expired' END AS verdict FROM a, n),
+u AS (SELECT *, CASE WHEN verdict IS NOT NULL THEN verdict WHEN row_number() OVER (PARTITION BY k, verdict IS NULL ORDER BY moment, event_id) > 1 + k % 3 THEN 'used' ELSE 'accepted' END AS result FROM v),
+g AS (SELECT *, sum((1 + k % 30) * 86400) OVER (PARTITION BY user_id ORDER BY moment, event_id) AS s FROM u WHERE result = 'accepted'),
+h AS (SELECT event_id, CAST(s + max(moment - (s - (1 + k % 30) * 86400)) OVER (PARTITION BY user_id ORDER BY moment, event_id) AS BIGINT) AS until FROM g)
+SELECT user_id, event_id, code, result AS verdict, until FROM u LEFT JOIN h USING (event_id)""")
+def redemption_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each attempt at a code comes to, and the access end after each accepted one; codes are malformed, unknown, revoked, expired or used up."""
+    events = read(spark, sf_dir, "events").withColumn("at", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
+    low = events.agg(F.min("at")).first()[0]
+    name = lambda k: F.concat(F.lit("ABCD-EF"), (k % 10).cast("string"), F.lit("0-"), F.lpad(k.cast("string"), 4, "0"))
+    key, k = F.col("event_id") % 500, F.col("id")
+    code = F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("bad "), key.cast("string"))).otherwise(F.concat(F.lit(" "), F.lower(name(key))))
+    attempts = events.where("event_type IN ('purchase', 'click')").select("user_id", "event_id", code.alias("code"), "at")
+    codes = spark.range(500).where("id % 7 <> 0").select(name(k).alias("code"), ((1 + k % 30) * 86400).alias("duration"), (1 + k % 3).alias("most"), (k % 11 == 0).alias("revoked"), F.when(k % 5 == 0, F.lit(low + 20 * 86400)).alias("expires_at"))
+    return queues.redeemed(attempts, codes).select("user_id", "event_id", "code", "verdict", "until")

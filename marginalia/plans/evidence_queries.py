@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia.functions import texts
+from marginalia.operators import candidates
 from marginalia.plans.registry import query, read
 from marginalia.sources import chunks
 
@@ -45,3 +46,21 @@ def rows_and_chars_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = first.groupBy("source").agg(texts.within(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "n"))), lambda x: x["n"]), 500, 20000).alias("shown"))
     total = docs.groupBy("source").agg(F.count("*").cast("int").alias("total_rows"))
     return shown.join(total, "source").withColumn("truncated", F.col("shown") < F.col("total_rows"))
+
+
+def _fits_sql(weak: bool) -> str:
+    low, money = "lower(text)", "({})".format(" OR ".join(f"contains(lower(text), '{s}')" for s in candidates.MONEY))
+    shares = "" if weak else " OR contains({0}, '%') OR {1}".format(low, " OR ".join(f"contains(lower(text), '{s}')" for s in candidates.SHARES))
+    numbers = f"list_transform(regexp_extract_all({low}, '\\d+(?:[.,]\\d+)?'), lambda n: CAST(replace(n, ',', '.') AS DOUBLE))"
+    return f"((regexp_matches({low}, '[0-9]') OR {money}) AND ({money} OR regexp_matches({low}, '\\d+(?:[.,]\\d+)?\\s*[-+−*/×=]\\s*\\d+(?:[.,]\\d+)?'){shares} OR len(list_filter({numbers}, lambda v: NOT (round_even(v, 0) BETWEEN 1900 AND 2100 OR abs(v) <= 200))) > 0))"
+
+
+@query(f"""WITH {chunks.SQL}, c AS (SELECT doc_id, id, element_type, section_path, text FROM chunks WHERE element_type IN ('text', 'table_row') AND {_fits_sql(False)} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY id) <= 140),
+s AS (SELECT doc_id, id, 'paragraph' AS element_type, section_path, text FROM chunks WHERE element_type = 'heading' AND doc_id NOT IN (SELECT doc_id FROM c GROUP BY doc_id HAVING count(*) >= 5) AND {_fits_sql(True)} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY id) <= 220),
+e AS (SELECT *, 0 AS from_sections FROM c UNION ALL SELECT *, 1 FROM s)
+SELECT doc_id, id, element_type, from_sections FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, element_type, section_path, left(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 400) ORDER BY from_sections, id) = 1""")
+def calc_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that may hold evidence for a calculation, and headings as sections where a document has fewer than five."""
+    rows = chunks.line_chunks(read(spark, sf_dir, "documents")).select("doc_id", "id", "element_type", "section_path", "text")
+    sections = rows.where("element_type = 'heading'").withColumn("element_type", F.lit(None).cast("string"))
+    return candidates.with_sections(candidates.of_chunks(rows, ["doc_id"]), sections, ["doc_id"]).select("doc_id", "id", "element_type", "from_sections")

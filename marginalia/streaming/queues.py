@@ -152,5 +152,38 @@ def stream_pending_counts(events: DataFrame, ttl: str = TTL, every: str = "1 hou
 
 def access_until(redemptions: DataFrame, user: str, at: str, days: Column) -> DataFrame:
     """Each user's access end (seconds) after redemptions in order: the later of end and moment, plus the duration."""
-    rows = redemptions.groupBy(user).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("bigint").alias("at"), F.col("event_id"), (days * 86400).cast("bigint").alias("plus")))).alias("r"))
-    return rows.select(user, F.aggregate("r", F.lit(0).cast("bigint"), lambda end, x: F.greatest(end, x["at"]) + x["plus"]).alias("until"), F.size("r").alias("redeemed"))
+    rows = running_access(redemptions.withColumn("_at", F.col(at).cast("bigint")).withColumn("_plus", (days * 86400).cast("bigint")), user, "_at", "_plus")
+    return rows.groupBy(user).agg(F.max_by("until", F.struct("_at", "event_id")).alias("until"), F.count("*").cast("int").alias("redeemed"))
+
+
+def running_access(redemptions: DataFrame, user: str, at: str, plus: str) -> DataFrame:
+    """Adds until: the access end after each redemption (user, event_id, moment and duration in seconds) of a user.
+
+    Each sets the end to the later of end and moment, plus its duration. Written out, the end is the sum
+    of all durations so far plus the largest of (moment less the durations before it), so that two
+    running windows give it and no user's history is held together.
+    """
+    w = Window.partitionBy(user).orderBy(at, "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = redemptions.withColumn("_sum", F.sum(plus).over(w))
+    return summed.withColumn("until", F.col("_sum") + F.max(F.col(at) - (F.col("_sum") - F.col(plus))).over(w)).drop("_sum")
+
+
+#: Fixed value: the form of a code.
+CODE = "^[A-Z0-9]{4}(?:-[A-Z0-9]{4}){2}$"
+
+
+def redeemed(attempts: DataFrame, codes: DataFrame) -> DataFrame:
+    """attempts (user_id, event_id, code, at) with code as it counts, verdict and until (seconds, of accepted ones).
+
+    codes: code, duration (seconds), most (redemptions), revoked and expires_at (null: never), one row
+    a code. The first reason counts: form, unknown, revoked, expired, used; else the attempt is accepted.
+    Of attempts at a code those that nothing else speaks against are counted in order of (at, event_id).
+    """
+    held = attempts.withColumn("code", F.upper(F.trim(F.coalesce("code", F.lit("")))))
+    joined = held.join(codes.withColumn("_known", F.lit(True)), "code", "left")
+    reason = F.when(~F.col("code").rlike(CODE), "form").when(F.col("_known").isNull(), "unknown").when(F.coalesce("revoked", F.lit(False)), "revoked").when(F.col("at") >= F.col("expires_at"), "expired")
+    judged = joined.withColumn("verdict", reason)
+    turn = F.row_number().over(Window.partitionBy("code", F.col("verdict").isNull()).orderBy("at", "event_id"))
+    judged = judged.withColumn("verdict", F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(turn > F.col("most"), "used").otherwise("accepted")).select(*attempts.columns, "verdict", "duration")
+    good = running_access(judged.where("verdict = 'accepted'"), "user_id", "at", "duration").drop("duration")
+    return good.unionByName(judged.where("verdict <> 'accepted'").drop("duration").withColumn("until", F.lit(None).cast("long")))
