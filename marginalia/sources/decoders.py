@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from marginalia.functions import labels
+from marginalia.functions import labels, signals
 
 Decoder = Callable[[str, bytes], Iterator[dict]]
 SECTION = "path string, ord int, title string, level int, element_type string, text string, error string"
@@ -24,11 +24,15 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def docx(path: str, content: bytes) -> Iterator[dict]:
-    """Headings, paragraphs, captions and table rows of a .docx in order. Rows join their cells by ' | ' without trailing empty ones; empty rows go."""
+    """Headings, paragraphs, captions, table rows and figures of a .docx in order. Rows join their cells by ' | ' without trailing empty ones; empty rows go. A figure's text is its description, else its name."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ET.fromstring(z.read("word/document.xml")).find(f"{W}body")
     said = lambda e: "".join(t.text or "" for t in e.iter(f"{W}t")).strip()
     for block in body:
+        if block.tag == f"{W}p":
+            for drawing in block.iter(f"{W}drawing"):
+                told = next((e for e in drawing.iter() if e.tag.endswith("}docPr")), None)
+                yield {"title": None, "level": None, "element_type": "figure", "text": "" if told is None else told.get("descr") or told.get("name") or ""}
         if block.tag == f"{W}p" and (text := said(block)):
             style = block.find(f"{W}pPr/{W}pStyle")
             match = re.search(r"(?:heading|заголовок)\s*(\d)", style.get(f"{W}val", ""), re.I) if style is not None else None
@@ -92,6 +96,24 @@ def outlined(sections: DataFrame) -> DataFrame:
     return rows.withColumn("section_path", F.concat_ws(" / ", *parts)).drop(*drop)
 
 
+def with_references(sections: DataFrame) -> DataFrame:
+    """sections with text below a heading that names a list of sources as references, and ref_no, their number within the file; lines that are continued count as their own."""
+    w = Window.partitionBy("path").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    under = signals.is_reference_section(F.last(F.when(F.col("element_type") == "heading", F.coalesce("title", "text")), ignorenulls=True).over(w))
+    rows = sections.withColumn("_ref", under & F.col("element_type").isin("text", "paragraph"))
+    rows = rows.withColumn("ref_no", F.when(F.col("_ref"), F.count_if("_ref").over(w)))
+    return rows.withColumn("element_type", F.when(F.col("_ref"), "reference").otherwise(F.col("element_type"))).drop("_ref")
+
+
+def with_figure_captions(sections: DataFrame, within: int = 2) -> DataFrame:
+    """captioned sections with figure_caption, on each figure: the first caption of a figure among the `within` rows behind it, else the one just before it."""
+    w = Window.partitionBy("path").orderBy("ord")
+    own = F.when(F.col("caption.kind") == "figure", F.col("caption"))
+    rows = sections.withColumn("_own", own)
+    near = F.coalesce(*[F.lead("_own", k).over(w) for k in range(1, within + 1)], F.lag("_own", 1).over(w))
+    return rows.withColumn("figure_caption", F.when(F.col("element_type") == "figure", near)).drop("_own")
+
+
 def captioned(sections: DataFrame) -> DataFrame:
     """Adds the caption's kind, number and tail to sections that are captions."""
     return sections.withColumn("caption", labels.caption(F.col("text")))
