@@ -25,12 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="marginalia-")
+        base = _goes_at_exit(spark, tempfile.mkdtemp(prefix="marginalia-"))
         spark.sparkContext.setCheckpointDir(base)
-    where = f"{base.rstrip('/')}/marginalia-{uuid.uuid4().hex}"
+    return _goes_at_exit(spark, f"{base.rstrip('/')}/marginalia-{uuid.uuid4().hex}")
+
+
+def _goes_at_exit(spark: SparkSession, where: str) -> str:
+    """Makes a folder and has it deleted when the driver's JVM ends; only one that is there already can be named for that."""
     fs, path = _at(spark, where)
     fs.mkdirs(path)
-    fs.deleteOnExit(path)  # only of use for a path that is there
+    fs.deleteOnExit(path)
     return where
 
 
@@ -39,6 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    _goes_at_exit(spark, spark.sparkContext.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 

@@ -188,3 +188,29 @@ def test_session_folder_is_there(spark):
     where = versions.shared_folder(spark)
     spark.range(3).write.parquet(f"{where}/x")
     assert spark.read.parquet(f"{where}/x").count() == 3
+
+
+def test_nothing_is_left_when_the_session_has_ended(tmp_path):
+    import os
+    import subprocess
+    import sys
+    import time
+    from pathlib import Path
+
+    where, home = tmp_path / "shared", str(Path(__file__).resolve().parent.parent)
+    where.mkdir()
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{where}").getOrCreate()
+from marginalia.sources import versions
+versions.cut(spark.range(5)).write.parquet(versions.shared_folder(spark) + "/x")
+import os
+assert os.listdir("{where}")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=home, env=os.environ | {"PYTHONPATH": home}, capture_output=True, text=True, timeout=180)
+    assert done.returncode == 0, done.stderr[-2000:]
+    for _ in range(100):  # the JVM ends a moment after Python
+        if not os.listdir(where):
+            break
+        time.sleep(0.2)
+    assert os.listdir(where) == []
