@@ -75,9 +75,9 @@ def mine(tokens: DataFrame, labels: DataFrame, *, min_support: float = 0.002, le
     if not bad:
         return empty
     min_support = min(1.0, max(min_support, least_rows / n))
-    # tokens that hold for nearly all rows say nothing and only multiply the combinations
+    # a rule with a token that all rows have is as sure as the one without it, and would be pruned for that
     counts = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    dull = counts.where(((F.col("n") < min_support * n) | (F.col("n") > 0.9 * n)) & (F.col("token") != BAD))
+    dull = counts.where(((F.col("n") < min_support * n) | (F.col("n") == n)) & (F.col("token") != BAD))
     kept = sorted(r["token"] for r in counts.join(dull, "token", "left_anti").collect())  # at most the tokens of a URL / min_support
     items = rows.select(F.array_intersect("items", F.lit(kept)).alias("items")).where(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)

@@ -537,6 +537,15 @@ def test_mined_rule_of_four_tokens(spark):
     assert got == {i: "block" if i < 40 or i == len(urls) else "allow" for i in range(len(urls) + 1)}
 
 
+def test_a_token_of_nearly_all_rows_can_be_in_a_rule(spark):
+    # bad are pages with x that also have the token of 95 % of the rows
+    rows = [(i, ["host=com", "path=common", f"path=p{i % 7}"] + (["path=x"] if i % 4 == 0 else [])) for i in range(380)] + [(1000 + i, ["host=com", "path=x"]) for i in range(20)]
+    tokens = spark.createDataFrame(rows, "page_id long, tokens array<string>")
+    labels = spark.createDataFrame([(i, "path=x" in t and "path=common" in t) for i, t in rows], "doc_id long, bad boolean")
+    got = {tuple(r["antecedent"]): r["confidence"] for r in url_rules.mine(tokens, labels).collect()}
+    assert got[("path=common", "path=x")] == 1.0 and 0.8 < got[("path=x",)] < 1.0 and not any("host=com" in a for a in got)
+
+
 def test_mining_against_all_combinations(spark):
     """Every combination of tokens counted one by one: support, confidence, lift, then the pruning of longer rules."""
     rng = np.random.default_rng(9)
