@@ -105,11 +105,16 @@ def _queue_processor(ttl_micros: int, most: int) -> StatefulProcessor:
                 before = drain
             if before is not None:
                 self.drained.update((before,))
-            yield self.told(key, taken, held[-most:])
+            # what is too old by now goes here too, as a timer of the same batch would tell the queue once more
+            late = timerValues.getCurrentWatermarkInMs() * 1000
+            yield self.told(key, taken, [i for i in held if i[0] >= late][-most:])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             late = timerValues.getCurrentWatermarkInMs() * 1000
-            yield self.told(key, [], [tuple(i) for i in self.items.get() if i[0] >= late])
+            before = [tuple(i) for i in self.items.get()]
+            held = [i for i in before if i[0] >= late]
+            if len(held) < len(before):
+                yield self.told(key, [], held)
 
         def close(self) -> None:
             pass
