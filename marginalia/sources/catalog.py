@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marginalia.sources.versions import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Old rows overlaid by the last new row of each key (by `order`); a null in the new row keeps the old value."""
@@ -52,8 +54,9 @@ def upsert_figures(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """
     last = new.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.coalesce("label", F.concat(F.lit("\0"), "image"))).orderBy(F.desc(order)))).where("_n = 1 OR (label IS NULL AND image IS NULL)").drop("_n", order)
     number = F.nullif(F.regexp_extract("label", r"\d+(?:\.\d+)?", 0), F.lit(""))
-    last = last.withColumn("num", F.coalesce("num", number)).withColumn("_new", F.monotonically_increasing_id())
-    held = old.withColumn("_old", F.monotonically_increasing_id())
+    # written once, as numbers of rows are others whenever they are made again
+    last = cut(last.withColumn("num", F.coalesce("num", number)).withColumn("_new", F.monotonically_increasing_id()))
+    held = cut(old.withColumn("_old", F.monotonically_increasing_id()))
     by_label = last.join(held.select("doc_id", "label", "_old"), ["doc_id", "label"]).select("_new", "_old", F.lit(1).alias("way"))
     by_image = last.join(held.select("doc_id", "image", "_old"), ["doc_id", "image"]).select("_new", "_old", F.lit(2).alias("way"))
     match = by_label.unionByName(by_image).groupBy("_new").agg(F.min(F.struct("way", "_old")).alias("m")).select("_new", F.col("m._old").alias("_old"))
