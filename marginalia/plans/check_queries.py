@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marginalia.functions import expressions
-from marginalia.operators import checks, tables
+from marginalia.operators import checks, retrieval, tables
 from marginalia.plans.registry import query, read
 
 GRID = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -184,7 +184,7 @@ UNION ALL SELECT id, 'bare', CAST(d * c - b AS DOUBLE), NULL, NULL FROM s WHERE
 def arithmetic_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested expressions, equalities and expressions without a result, written into texts and read back; a tenth of the results are wrong, and their texts' bare expressions are not counted then."""
     key = F.col("p_partkey")
-    p = read(spark, sf_dir, "part").select(key.alias("id"), F.col("p_size").alias("a"), (key % 50 + 1).alias("b"), (key % 7 + 2).alias("c"), (key % 1000 + 11000).alias("d"), (key % 6).alias("shape"), (key % 10 == 0).alias("off"))
+    p = retrieval.spread(read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(key.alias("id"), F.col("p_size").alias("a"), (key % 50 + 1).alias("b"), (key % 7 + 2).alias("c"), (key % 1000 + 11000).alias("d"), (key % 6).alias("shape"), (key % 10 == 0).alias("off"))
     shapes = ["(%1$d + %2$d) × %3$d − %4$d", "%4$d - (%1$d − (%2$d - %3$d))", "%1$d * (%2$d + (%3$d + %4$d) * 2)", "-(%1$d + %2$d) × -%3$d", "%1$d + %2$d x %3$d", "%4$d"]
     a, b, c, d = (F.col(n) for n in "abcd")
     values = [(a + b) * c - d, d - (a - (b - c)), a * (b + (c + d) * 2), -(a + b) * -c, a + b * c, d]
