@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from marginalia.functions import questions as Q, semantic_plans
-from marginalia.operators import charts
+from marginalia.operators import charts, retrieval
 from marginalia.plans.registry import query, read
 
 
@@ -73,7 +73,7 @@ def semantic_plan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         when(16, text("таблицы ", b, ",", a, " и ", b, ".", a + 1, " и рис. A", b)), when(32, text("главные выводы по главам ", a, "–", a + 2)),
     ]
     mode = F.element_at(F.array(F.lit("Скажи"), F.lit("Объясни простым языком"), F.lit("Сравни")), (key % 3 + 1).cast("int"))
-    rows = read(spark, sf_dir, "part").select(key.alias("id"), F.concat_ws("; ", mode, *clauses).alias("question"))
+    rows = retrieval.spread(read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(key.alias("id"), F.concat_ws("; ", mode, *clauses).alias("question"))
     plans = rows.select("id", semantic_plans.plan(F.col("question")).alias("p"))
     keys = lambda kind: F.transform(F.filter("p.objects", lambda o: o["kind"] == kind), lambda o: o["key"])
     about = lambda slot: F.array_join(F.array_sort(F.transform(F.filter("p.bound", lambda o: (o["slot"] == slot) & (o["kind"] == "section")), lambda o: o["key"])), ",")
