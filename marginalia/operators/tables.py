@@ -7,9 +7,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marginalia.functions import numbers
 
 
+#: Rows that one task sorts, so that its memory does not grow with the table.
+ROWS = 500_000
+
+
 def melt(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """keys, row_idx (by order, from 1), col_idx, header and value of every cell of the named columns."""
-    rows = rows.withColumn("row_idx", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+    rows = rows.repartition(parts, *keys).withColumn("row_idx", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     cells = F.array(*[F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("header"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
     return rows.select(*keys, "row_idx", F.explode(cells).alias("c")).select(*keys, "row_idx", "c.col_idx", "c.header", "c.value")
 
