@@ -14,6 +14,8 @@ from marginalia.sources import versions
 MOST_RANGES = 400
 #: Bytes of a row group: small, so that a range of words reads little beside it.
 ROW_GROUP = 4 << 20
+#: Words of a range that one task counts and sorts, so that its memory does not grow with the documents.
+RANGE = 1_000_000
 SCHEMA = "word string, doc_id long, tf long, dl int"
 
 
@@ -39,7 +41,7 @@ class Postings:
                 return None
             tokens = retrieval.spread(docs.select("doc_id", "text")).select("doc_id", retrieval.words(F.col("text")).alias("w"))
             n, total = tokens.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("w"), F.lit(0))), F.lit(0))).first()
-            counted = tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("word")).repartitionByRange("word", "doc_id").groupBy("word", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+            counted = tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("word")).repartitionByRange(self.ranges(total), "word", "doc_id").groupBy("word", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
             folder = f"seg-{uuid.uuid4().hex}"
             counted.select("word", F.col("doc_id").cast("long").alias("doc_id"), "tf", "dl").sortWithinPartitions("word", "doc_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.pointers.where}/{folder}")
             writers = state.get("writers", {}) | ({writer: batch} if writer is not None else {})
@@ -47,6 +49,10 @@ class Postings:
 
         return self.pointers.change(make)
 
+    def ranges(self, total: int) -> int:
+        """Into how many ranges so many words are dealt: one for each core, more where they would exceed RANGE."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-total // RANGE))
+
     def merge(self) -> int:
         """Makes one segment of all, still sorted; what is found stays the same."""
 
@@ -54,7 +60,7 @@ class Postings:
             if len(state.get("segments", [])) < 2:
                 return None
             folder, parts = f"seg-{uuid.uuid4().hex}", state["segments"]
-            self.rows(state).repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.pointers.where}/{folder}")
+            self.rows(state).repartitionByRange(self.ranges(sum(s["total"] for s in parts)), "word", "doc_id").sortWithinPartitions("word", "doc_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.pointers.where}/{folder}")
             return state | {"segments": [{"folder": folder, "n": sum(s["n"] for s in parts), "total": sum(s["total"] for s in parts)}]}
 
         return self.pointers.change(make)
