@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from marginalia.functions import labels, signals
 from marginalia.operators import joins, retrieval as R
 from marginalia.plans.registry import query, read
-from marginalia.sources import chunks
+from marginalia.sources import chunks, versions
 
 QUESTIONS = "SELECT * FROM (VALUES (1, 'the thing of inan'), (2, 'nicht aulich der schön'), (3, 'que les réau'), (4, 'License version 2.0'), (5, 'de la ciones 3')) AS t(q_id, query)"
 
@@ -112,12 +112,15 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = _vectors(spark, sf_dir)
     five = spark.sql(QUESTIONS).select((F.col("q_id") - 1).cast("long").alias("at"), "query")
     asked = asked.withColumn("at", F.floor(F.col("q_id") / 50) % 5)
-    sem = R.cosine(rows, asked.drop("at"), 30).select("q_id", "id", "sim")
+    sem = versions.cut(R.cosine(rows, asked.drop("at"), 30).select("q_id", "id", "sim"))  # used twice
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = R.bm25(docs, spark.sql(QUESTIONS), 30).select((F.col("q_id") - 1).cast("long").alias("at"), F.col("doc_id").alias("id"), "score")
     lex = asked.select("q_id", "at").join(found, "at").select("q_id", "id", "score")
-    texts = sem.select("q_id", "id").join(docs.withColumnRenamed("doc_id", "id"), "id").join(asked.select("q_id", "at").join(five, "at"), "q_id")
-    return R.hybrid(sem, lex, texts.select("q_id", "id", R.shared_numbers(F.col("text"), F.col("query")).alias("shared")), 40)
+    # a text's numbers are read once, not for each question that finds it, and texts are not shuffled
+    told = docs.select(F.col("doc_id").alias("id"), R.numbers_of(F.col("text")).alias("own"))
+    named = asked.select("q_id", "at").join(five, "at").select("q_id", R.numbers_of(F.col("query")).alias("named"))
+    shared = sem.select("q_id", "id").join(told, "id").join(named, "q_id").select("q_id", "id", F.size(F.array_intersect("own", "named")).alias("shared"))
+    return R.hybrid(sem, lex, shared, 40)
 
 
 @query(f"""WITH {chunks.SQL}, h AS (SELECT doc_id, id, text, strpos(lower(text), 'licen') AS spot FROM chunks WHERE regexp_matches(lower(text), 'licen[sc]e') AND starts_with(section_path, 'S0'))
